@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, tokenfile
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op10_token_ids": tokenfile.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
