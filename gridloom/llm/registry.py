@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash, tokenfile
+from . import mixture, simhash, tokenfile
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op5_mixture": mixture.query,
     "op10_token_ids": tokenfile.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixture": mixture.ORACLE,
+}
