@@ -127,12 +127,14 @@ numbered as (
   from lanes l join plan p on l.source is not distinct from p.source),
 stepped as (
   select *, case when source_size > 0 then target / source_size else 0.0::double end as rate from numbered),
+counted as (
+  select place, size, target, rate, count(*) as n from stepped group by place, size, target, rate),
 cells as (
-  select place, size, target, rate, count(*) as n, sum(count(*)) over (partition by place order by size desc) - count(*) as before from stepped group by all),
+  select *, sum(n) over (partition by place order by size desc) - n as before from counted),
 drawn as (
   select *, (({SEED} + place * 40503 + draw * 30011) * 69069 + 12345) % 65536 / 65536.0::double as u from cells, range({DRAWS}) as r(draw)),
 taken as (
-  select place, draw, u, target, sum((floor(rate * (before + n)::double + u) - floor(rate * before::double + u)) * size) as got from drawn group by all),
+  select place, draw, u, target, sum((floor(rate * (before + n)::double + u) - floor(rate * before::double + u)) * size) as got from drawn group by place, draw, u, target),
 best as (
   select place, arg_min(u, [abs(got - target), draw]) as u from taken group by place)
 select doc_id, size, source_size, target,
