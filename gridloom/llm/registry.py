@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixture, simhash, tokenfile
+from . import decontam, mixture, simhash, tokenfile
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op5_mixture": mixture.query,
+    "op7_decontaminate": decontam.query,
     "op10_token_ids": tokenfile.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixture": mixture.ORACLE,
+    "op7_decontaminate": decontam.ORACLE,
 }
