@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontam, mixture, simhash, tokenfile
+from . import chat, decontam, mixture, secrets, simhash, tokenfile, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op3_chat_format": chat.query,
+    "op4_url_filter": urlfilter.query,
     "op5_mixture": mixture.query,
     "op7_decontaminate": decontam.query,
+    "op9_secrets": secrets.query,
     "op10_token_ids": tokenfile.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": chat.ORACLE,
+    "op4_url_filter": urlfilter.oracle(),
     "op5_mixture": mixture.ORACLE,
     "op7_decontaminate": decontam.ORACLE,
+    "op9_secrets": secrets.ORACLE,
 }
