@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixture, secrets, simhash, tokenfile, urlfilter
+from . import chat, decontam, mixture, quality, secrets, simhash, tokenfile, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op3_chat_format": chat.query,
     "op4_url_filter": urlfilter.query,
     "op5_mixture": mixture.query,
+    "op6_quality": quality.query,
     "op7_decontaminate": decontam.query,
     "op9_secrets": secrets.query,
     "op10_token_ids": tokenfile.query,
