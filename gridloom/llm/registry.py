@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixture, quality, secrets, simhash, tokenfile, urlfilter
+from . import chat, decontam, mixture, quality, secrets, simhash, tokenfile, urlfilter, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mixture": mixture.query,
     "op6_quality": quality.query,
     "op7_decontaminate": decontam.query,
+    "op8_warc": warc.query,
     "op9_secrets": secrets.query,
     "op10_token_ids": tokenfile.query,
 }
