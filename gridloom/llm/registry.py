@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixture, quality, secrets, simhash, tokenfile, urlfilter, warc
+from . import chat, decontam, mixture, quality, secrets, simhash, tokenfile, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_toxicity": toxicity.query,
     "op3_chat_format": chat.query,
     "op4_url_filter": urlfilter.query,
     "op5_mixture": mixture.query,
