@@ -35,6 +35,7 @@ FEATURES = 3000
 MINED = 240  # mined stems, dealt to MINED_VOTERS voters
 MINED_VOTERS = 12
 THRESHOLD = 0.3
+PURE = 0.6  # share of positive rows that a telling feature needs
 STEMS = (4, 5, 6, 7)
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -81,16 +82,25 @@ def fixed_votes(text: str) -> list[int]:
     return votes
 
 
-def mine(rows: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
-    """The features most over-represented in rows with y = 1, by a z-score of their frequencies."""
-    flat = np.concatenate([*rows, np.zeros(0, np.uint32)])
-    kinds, at = np.unique(flat, return_inverse=True)
-    w = np.repeat(y, [len(r) for r in rows])
-    pos, every = np.bincount(at, w, len(kinds)), np.bincount(at, minlength=len(kinds))
+def _counted(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(features, place of each occurrence, its row, rows with the feature, their sum of y, z-score of that sum)."""
+    kinds, at = np.unique(np.concatenate([*rows, np.zeros(0, np.uint32)]), return_inverse=True)
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    every, pos = np.bincount(at, minlength=len(kinds)), np.bincount(at, y[of], len(kinds))
     share = y.mean()
-    z = (pos - every * share) / np.sqrt(np.maximum(every * share * (1 - share), 1e-9))
-    best = np.argsort(-z, kind="stable")[:most]
-    return kinds[best[(z[best] > 6) & (pos[best] >= 4)]]
+    return kinds, at, of, every, pos, (pos - every * share) / np.sqrt(np.maximum(every * share * (1 - share), 1e-9))
+
+
+def _telling(every: np.ndarray, pos: np.ndarray, z: np.ndarray, most: int) -> np.ndarray:
+    """Places of the features with the highest z-scores, of those found mostly where y is 1."""
+    best = np.argsort(-z, kind="stable")
+    return best[(z[best] > 4) & (pos[best] >= 2.5) & (pos[best] >= PURE * (every[best] + 1))][:most]
+
+
+def mine(rows: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
+    """The features most over-represented in rows with y = 1."""
+    kinds, _, _, every, pos, z = _counted(rows, y)
+    return kinds[_telling(every, pos, z, most)]
 
 
 def label_model(votes: np.ndarray, given: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +135,9 @@ def label_model(votes: np.ndarray, given: int, rounds: int = 30) -> tuple[np.nda
 
 def fit_linear(rows: list[np.ndarray], y: np.ndarray, most: int = FEATURES, rounds: int = 300) -> tuple[dict[int, float], float]:
     """Logistic regression on presence of selected features with soft labels; (weights, bias)."""
-    flat = np.concatenate([*rows, np.zeros(0, np.uint32)])
-    kinds, at = np.unique(flat, return_inverse=True)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    every, pos = np.bincount(at, minlength=len(kinds)), np.bincount(at, y[of], len(kinds))
+    kinds, at, of, every, pos, z = _counted(rows, y)
     share = float(y.mean())
-    z = (pos - every * share) / np.sqrt(np.maximum(every * share * (1 - share), 1e-9))
-    pick = np.argsort(-np.abs(z), kind="stable")[:most]
-    pick = pick[(np.abs(z[pick]) > 5) & (every[pick] >= 4)]
+    pick = _telling(every, pos, z, most)
     place = np.full(len(kinds), -1)
     place[pick] = np.arange(len(pick))
     use = place[at] >= 0
@@ -152,6 +157,21 @@ def lexicon_model() -> tuple[dict[int, float], float]:
     return {zlib.crc32(w.encode()): 4.0 for x in LEXICONS.values() for w in x}, -3.0
 
 
+def fit(feats: list[np.ndarray], votes: np.ndarray, y: np.ndarray) -> tuple[dict[int, float], float]:
+    """Mine stems, run the label model and train the classifier."""
+    if not 0 < y.sum() < len(y):
+        return lexicon_model()
+    stems = mine(feats, y, MINED)
+    more = np.zeros((len(feats), MINED_VOTERS), int)
+    group = {int(s): i % MINED_VOTERS for i, s in enumerate(stems)}
+    for i, f in enumerate(feats):
+        for s in np.intersect1d(f, stems).tolist():
+            more[i, group[s]] = 1
+    votes = np.column_stack([votes, more, np.where(y > 0, 1, -1)])
+    post, _ = label_model(votes, votes.shape[1] - 1)
+    return fit_linear(feats, post)
+
+
 def held_out(id_: Column) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % HELD_OUT[0] == HELD_OUT[1]
 
@@ -170,20 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_MOST) -> tuple[d
 
     rows = docs.join(known, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, features binary, votes binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["features"]))
-    y = np.array([r["toxic"] for r in rows], float)
-    if not 0 < y.sum() < len(y):
-        return lexicon_model()
     feats = [np.frombuffer(r["features"], np.uint32) for r in rows]
-    votes = np.stack([np.frombuffer(r["votes"], np.int8) for r in rows]).astype(int)
-    stems = mine(feats, y, MINED)
-    more = np.zeros((len(rows), MINED_VOTERS), int)
-    group = {int(s): i % MINED_VOTERS for i, s in enumerate(stems)}
-    for i, f in enumerate(feats):
-        for s in np.intersect1d(f, stems).tolist():
-            more[i, group[s]] = 1
-    votes = np.column_stack([votes, more, np.where(y > 0, 1, -1)])
-    post, _ = label_model(votes, votes.shape[1] - 1)
-    return fit_linear(feats, post)
+    votes = np.stack([np.frombuffer(r["votes"], np.int8) for r in rows]) if rows else np.zeros((0, 1))
+    return fit(feats, votes.astype(int), np.array([r["toxic"] for r in rows], float))
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
