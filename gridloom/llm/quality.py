@@ -196,6 +196,19 @@ def assess(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     return narrow.mapInArrow(run, SCHEMA)
 
 
+def keep(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", bands: dict[str, Band] = BANDS) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they are; no shuffle and no join."""
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _MODELS.get(vocabulary) or _MODELS.setdefault(vocabulary, Fertility(vocabulary))
+        for b in batches:
+            kept = [judge_text(t, g, model, bands)[-1] for t, g in zip(b.column(text_at).to_pylist(), b.column(lang_at).to_pylist(), strict=True)]
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: base counts and verdict of every document."""
     import public_tokenizers
