@@ -67,24 +67,90 @@ def splits_at_space(path: str) -> bool:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, the end id appended."""
+    """Encodes texts to little-endian unsigned 32-bit ids, the end id appended.
+
+    Encoded pieces are kept in two generations: a full one becomes the old one, from which
+    pieces return when they are used.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = splits_at_space(path)
         self.end = struct.pack("<I", end_id)
         self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        with open(path) as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab() if suffix else {}
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.marked = bool(self.ends.any())
+        # For lower-case words of letters, the normalizer changes nothing and the pattern splits at blanks.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _words(self, words: list[str]) -> None:
+        """Learn words of letters: encoded as one text, whose ids are cut after each that ends a word."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) == len(words) and at[-1] == len(ids):
+            raw, at = ids.tobytes(), (4 * at).tolist()
+            for w, i, j in zip(words, [0, *at], at, strict=False):
+                self.cache[w] = raw[i:j]
+        else:
+            self._others(words)
+
+    def _others(self, pieces: list[str]) -> None:
+        for w, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> list[str]:
+    def _learn(self, pieces: list[str]) -> list[str]:
+        """Learn the pieces that are new; returns the long ones among what was learnt.
+
+        A piece of Latin letters and closing marks is its lower-cased letters and its marks, which
+        the tokenizer never merges with each other; only the letters need encoding.
+        """
         if len(self.cache) > CACHE:
-            self.cache = {"": b""}
-        new = list(set(words) - self.cache.keys())
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [w for w in new if len(w) > LONG]
+            self.old, self.cache = self.cache, {"": b""}
+        cache, old, marked = self.cache, self.old, self.marked
+        made, words, others, long = [], set(), set(), []
+
+        def need(w: str, to: set[str]) -> None:
+            if w in old:
+                cache[w] = old[w]
+            elif w not in cache:
+                to.add(w)
+
+        for w in set(pieces).difference(cache):
+            if w in old:
+                cache[w] = old[w]
+                continue
+            if len(w) > LONG:
+                long.append(w)
+            if marked and w.isascii() and w.isalpha() and w.islower():
+                words.add(w)
+                continue
+            core = w.rstrip(".,;:!?") if marked else ""
+            low = core.lower()
+            if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and len(low) == len(core))):
+                marks = w[len(core) :]
+                made.append((w, low, marks))
+                need(low, words)
+                need(marks, others)
+                if len(low) > LONG:
+                    long.append(low)
+            else:
+                others.add(w)
+        if words:
+            self._words(list(words))
+        if others:
+            self._others(list(others))
+        for w, low, marks in made:
+            cache[w] = cache[low] + cache[marks]
+        return long
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -98,7 +164,7 @@ class Encoder:
             long = self._learn(words)
         out = b"".join(map(self.cache.__getitem__, words)) + self.end
         for w in long:
-            del self.cache[w]
+            self.cache.pop(w, None)
         return out
 
 
