@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,8 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Rows (record, page_id, url, chunk_no, data, n_bytes, digest, last), in the shared folder.
 
     n_bytes and digest (base-32 SHA-1) are those of the payload up to and with the chunk; in the
-    row marked ``last`` they are the payload's.
+    row marked ``last`` they are the payload's. ``data`` is a zstandard frame of the chunk, which
+    halves what is stored and shuffled.
     """
     payload = F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
@@ -64,17 +66,19 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, sha, size = TaskContext.get().partitionId(), -1, hashlib.sha1(), 0
+        zip_ = zstandard.ZstdCompressor(3)
         for b in batches:
-            names, sizes, digests = [], [], []
+            names, sizes, digests, frames = [], [], [], []
             for no, data in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if no == 0:
                     n, sha, size = n + 1, hashlib.sha1(), 0
                 sha.update(data)
                 size += len(data)
                 names.append(f"{part:06d}-{n:09d}")
+                frames.append(zip_.compress(data))
                 sizes.append(size)
                 digests.append(base64.b32encode(sha.copy().digest()).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(b.column(i) for i in range(4)), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), b.column(4)], ["record", "page_id", "url", "chunk_no", "data", "n_bytes", "digest", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(b.column(i) for i in range(3)), pa.array(frames, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), b.column(4)], ["record", "page_id", "url", "chunk_no", "data", "n_bytes", "digest", "last"])
 
     return cut(chunks.mapInArrow(run, "record string, page_id long, url string, chunk_no int, data binary, n_bytes long, digest string, last boolean"), "chunks")
 
@@ -166,21 +170,21 @@ def write_warc(pages: DataFrame, root: str, rows_per_file: int = ROWS_PER_FILE,
     records = cut(classify(chunks), "records")
     n = records.count()
     heads = records.select("record", F.lit(-1).alias("chunk_no"), "page_id", "url", "n_bytes", "digest", "revisit", "refers_to", F.lit(None).cast("binary").alias("data"))
-    bodies = chunks.where("length(data) > 0").join(records.where("not revisit").select("record"), "record", "left_semi")
     null = lambda c, t: F.lit(None).cast(t).alias(c)
-    bodies = bodies.select("record", "chunk_no", null("page_id", "long"), null("url", "string"), null("n_bytes", "long"), null("digest", "string"), null("revisit", "boolean"), null("refers_to", "long"), "data")
+    bodies = chunks.where("n_bytes > 0").select("record", "chunk_no", null("page_id", "long"), null("url", "string"), null("n_bytes", "long"), null("digest", "string"), null("revisit", "boolean"), null("refers_to", "long"), "data")
     fs, at = pafs.FileSystem.from_uri(root)
     fs.create_dir(at, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
+        writer, unzip, revisit_now = None, zstandard.ZstdDecompressor(), False
         for b in batches:
             for no, page_id, url, size, digest, revisit, refers_to, data in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                 writer = writer or WarcWriter(root)
                 if no < 0:
                     writer.start(page_id, url, size, digest, revisit, refers_to)
-                else:
-                    writer.feed(data)
+                    revisit_now = revisit
+                elif not revisit_now:
+                    writer.feed(unzip.decompress(data))
         if writer is not None:
             path, k = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int64())], ["path", "n"])
