@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -44,7 +45,9 @@ from ..storage import cut, fresh_path
 MAGIC = b"GLTOKEN1"
 HEAD = 48
 END_ID = 2
-CACHE = 300_000  # pieces a worker keeps
+CACHE = 400_000  # pieces of a generation; a worker keeps two
+GROUP = 1 << 20  # characters that are encoded together
+MARKS = string.punctuation
 LONG = 64  # pieces of more characters are not kept
 SAMPLE_DOCS = 1024  # documents that the dictionary is trained on
 SAMPLE_CHARS = 16_000  # characters of each of them
@@ -107,11 +110,11 @@ class Encoder:
         for w, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
             self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> list[str]:
+    def _learn(self, pieces: set[str]) -> list[str]:
         """Learn the pieces that are new; returns the long ones among what was learnt.
 
-        A piece of Latin letters and closing marks is its lower-cased letters and its marks, which
-        the tokenizer never merges with each other; only the letters need encoding.
+        A piece of Latin letters and closing ASCII punctuation is its lower-cased letters and its
+        marks, which the tokenizer never merges with each other; each is encoded once.
         """
         if len(self.cache) > CACHE:
             self.old, self.cache = self.cache, {"": b""}
@@ -121,10 +124,10 @@ class Encoder:
         def need(w: str, to: set[str]) -> None:
             if w in old:
                 cache[w] = old[w]
-            elif w not in cache:
+            else:
                 to.add(w)
 
-        for w in set(pieces).difference(cache):
+        for w in pieces.difference(cache):
             if w in old:
                 cache[w] = old[w]
                 continue
@@ -133,13 +136,15 @@ class Encoder:
             if marked and w.isascii() and w.isalpha() and w.islower():
                 words.add(w)
                 continue
-            core = w.rstrip(".,;:!?") if marked else ""
+            core = w.rstrip(MARKS) if marked else ""
             low = core.lower()
             if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and len(low) == len(core))):
                 marks = w[len(core) :]
                 made.append((w, low, marks))
-                need(low, words)
-                need(marks, others)
+                if low not in cache:
+                    need(low, words)
+                if marks not in cache:
+                    need(marks, others)
                 if len(low) > LONG:
                     long.append(low)
             else:
@@ -153,18 +158,25 @@ class Encoder:
         return long
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The encoded texts; what is new in about GROUP characters of them is learnt at once."""
         if not self.pieces:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.cache.__getitem__, words)) + self.end
-        except KeyError:
-            long = self._learn(words)
-        out = b"".join(map(self.cache.__getitem__, words)) + self.end
-        for w in long:
-            self.cache.pop(w, None)
+            return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() + self.end for t in texts]
+        out: list[bytes] = []
+        split: list[list[str]] = []
+        size = 0
+        for i, t in enumerate(texts):
+            split.append(t.replace("\n", " ").split(" ") if t else [])
+            size += len(t or "")
+            if size >= GROUP or i == len(texts) - 1:
+                long = self._learn(set().union(*split))
+                get = self.cache.__getitem__
+                out.extend(b"".join(map(get, words)) + self.end for words in split)
+                for w in long:
+                    self.cache.pop(w, None)
+                split, size = [], 0
         return out
 
 
@@ -278,8 +290,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, id_col: str = "doc_
         bounds = np.array(cuts, np.int64)
         for b in batches:
             sizes, crcs, frames = [], [], []
-            for text in b.column(1).to_pylist():
-                raw = own(text)
+            for raw in own.many(b.column(1).to_pylist()):
                 crcs.append(zlib.crc32(raw))
                 sizes.append(len(raw) // 4)
                 frames.append(zip_.compress(np.frombuffer(raw, "<u4").astype("<u2").tobytes() if width == 2 else raw))
