@@ -57,8 +57,8 @@ class _Jacobi(Program):
             heavy = self.degrees.where(F.col("degree") > HEAVY).select("src", F.ceil(F.col("degree") / HEAVY).alias("lanes"))
             self.edges = edges.join(heavy, "src", "left").select("src", "dst", F.when(F.col("lanes").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("dst"), F.col("lanes"))).cast("int").alias("lane")).repartition(parts, "src", "lane")
         self.edges = self.edges.persist(StorageLevel.MEMORY_AND_DISK)
-        self.top = (edges.agg(F.max("dst")).first()[0] if freeze_tail else num_nodes - 1) or 0
-        self.tail = freeze_tail
+        top = edges.agg(F.max("dst")).first()[0] if freeze_tail else num_nodes - 1
+        self.top = -1 if top is None else top
 
     def init(self) -> DataFrame:
         spark = self.degrees.sparkSession

@@ -1,0 +1,313 @@
+"""Matrix Market reading, dense forms, layouts and file formats on small tensors."""
+
+from dataclasses import replace
+from itertools import product
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from gridloom.functions import scalars, text
+from gridloom.meta import MatrixType, TensorMeta, infer_value_type
+from gridloom.operators import access, compare, dense, encode, ingest, layout
+from gridloom.sources import mtx, prm, store
+from gridloom.tensor import CooTensor, from_columns
+
+#: Coordinates of small tensors; a value spells its 1-based coordinate and depth.
+POS = {
+    3: [(0, 1), (0, 2), (1, 3), (2, 0), (2, 1), (2, 3), (2, 4), (3, 2), (4, 0)],
+    5: [(0, 0, 1, 0), (0, 2, 1, 0), (0, 2, 3, 0), (0, 4, 0, 0), (0, 0, 2, 1), (0, 2, 0, 1), (0, 2, 4, 1), (1, 0, 1, 2), (1, 0, 2, 2), (1, 1, 3, 2), (1, 0, 2, 3), (1, 2, 1, 3), (1, 2, 3, 3), (1, 2, 4, 3), (1, 4, 0, 3)],
+}
+META = {
+    3: TensorMeta(MatrixType("CRG"), "f64", (5, 5, 2), (0, 1, 2)),
+    5: TensorMeta(MatrixType("CRG"), "f64", (2, 5, 5, 4, 3), (0, 3, 1, 2, 4)),
+}
+
+
+def spelled(pos, depths):
+    a, *rest = (p + 1 for p in pos)
+    return [float(f"{a}.{''.join(map(str, rest))}{d + 1}") for d in range(depths)]
+
+
+def small(spark, n):
+    m = META[n]
+    rows = [(*p, spelled(p, m.depths)) for p in POS[n]]
+    return CooTensor(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in m.coords) + ", vals array<double>"), m)
+
+
+def write(path, lines):
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+def mtx_lines(n):
+    m = META[n]
+    head = [f"%%MatrixMarket matrix coordinate real general [shape:{m.shape};order:{m.order}]", "% a comment", f"{m.rows} {m.cols} {len(POS[n])}"]
+    return head + [" ".join([*(str(p + 1) for p in pos), *(str(v) for v in spelled(pos, m.depths))]) for pos in POS[n]]
+
+
+@pytest.mark.parametrize("n", [3, 5])
+def test_mtx_with_tensor_header(spark, tmp_path, n):
+    t = mtx.read_mtx(spark, write(tmp_path / "t.mtx", mtx_lines(n)))
+    assert compare.equal(t, small(spark, n))
+    assert mtx.read_meta(spark, str(tmp_path / "t.mtx")).nnz == len(POS[n])
+
+
+def test_metadata_of_five_dimensions():
+    m = META[5]
+    assert (m.rows, m.cols, m.non_depth_dims, m.index_dim_order, m.index_dim, m.non_index_dim, m.max_dim_size, m.index_dim_size, m.non_index_dim_size) == (2, 4, 4, 0, 0, 3, 5, 2, 4)
+    assert TensorMeta.from_json(m.to_json()) == m
+
+
+@pytest.mark.parametrize(
+    ("field", "symmetry", "tag"),
+    [("complex", "general", "CCG"), ("complex", "Hermitian", "CCH"), ("complex", "symmetric", "CCS"), ("integer", "general", "CIG"), ("integer", "symmetric", "CIS"), ("pattern", "general", "CPG"), ("pattern", "symmetric", "CPS"), ("real", "general", "CRG"), ("real", "skew-symmetric", "CRK"), ("real", "symmetric", "CRS")],
+)
+def test_banners(field, symmetry, tag):
+    m, n = mtx.parse_header([f"%%MatrixMarket matrix coordinate {field} {symmetry}", "%", "4 5 6"])
+    assert (m.matrix_type.tag, m.shape, m.order, m.nnz, n) == (tag, (4, 5, 1), (1, 0, 2), 6, 3)
+
+
+@pytest.mark.parametrize("lines", [[], ["3 3 1"], ["%%MatrixMarket matrix coordinate real"], ["%%MatrixMarket matrix coordinate Real general", "1 1 1"], ["%%MatrixMarket matrix coordinate real general", "1 1"], ["%%MatrixMarket matrix coordinate pattern general [shape:(2,2,2)]", "2 2 1"], ["%%MatrixMarket matrix coordinate real general [shape:(3,2,1);order:(0,1,2)]", "2 2 1"]])
+def test_bad_headers(lines):
+    with pytest.raises(ValueError):
+        mtx.parse_header(lines)
+
+
+@pytest.mark.parametrize("body", [["0 1 1.0"], ["1 9 1.0"], ["1 x 1.0"], ["1 1 a"], ["1 1 1.0", "1 1 2.0"]])
+def test_bad_bodies(spark, tmp_path, body):
+    path = write(tmp_path / "bad.mtx", ["%%MatrixMarket matrix coordinate real general", f"4 4 {len(body)}", *body])
+    with pytest.raises(ValueError):
+        mtx.read_mtx(spark, path)
+
+
+def test_missing_entries_are_an_error(spark, tmp_path):
+    with pytest.raises(ValueError):
+        mtx.read_mtx(spark, write(tmp_path / "m.mtx", ["%%MatrixMarket matrix coordinate real general", "4 4 2", "1 1 1.0"]))
+
+
+def test_zero_entries_are_dropped_and_halves_not_mirrored(spark, tmp_path):
+    path = write(tmp_path / "z.mtx", ["%%MatrixMarket matrix coordinate integer symmetric", "3 3 3", "1 1 0", "2 1 5", "3 3 7"])
+    t = mtx.read_mtx(spark, path)
+    assert sorted(map(tuple, t.df.collect())) == [(1, 0, [5]), (2, 2, [7])]
+    both = ingest.expand_symmetric(t)
+    assert sorted(map(tuple, both.df.collect())) == [(0, 1, [5]), (1, 0, [5]), (2, 2, [7])]
+    assert both.meta.matrix_type.tag == "CIG"
+
+
+def test_entry_that_reads_like_the_size_line(spark, tmp_path):
+    path = write(tmp_path / "s.mtx", ["%%MatrixMarket matrix coordinate integer general", "3 3 2", "3 3 2", "1 2 4"])
+    assert sorted(map(tuple, mtx.read_mtx(spark, path).df.collect())) == [(0, 1, [4]), (2, 2, [2])]
+
+
+def test_complex_and_hermitian(spark, tmp_path):
+    path = write(tmp_path / "h.mtx", ["%%MatrixMarket matrix coordinate complex Hermitian", "2 2 3", "1 1 1 0", "2 1 3 -4", "2 2 0 0"])
+    t = mtx.read_mtx(spark, path)
+    assert t.count() == 2
+    assert access.value_at(t, (1, 0)).asDict() == {"re": 3.0, "im": -4.0}
+    both = ingest.expand_symmetric(t)
+    assert access.value_at(both, (0, 1)).asDict() == {"re": 3.0, "im": 4.0}
+    p = str(tmp_path / "h.prm")
+    prm.write_prm(t, p)
+    assert compare.equal(prm.read_prm(spark, p), t)
+
+
+def test_array_files(spark, tmp_path):
+    path = write(tmp_path / "a.mtx", ["%%MatrixMarket matrix array real general", "% c", "2 3", "1", "2", "0", "4", "5", "6"])
+    t = mtx.read_mtx(spark, path)
+    assert sorted((r.d0, r.d1, r.vals[0]) for r in t.df.collect()) == [(0, 0, 1.0), (0, 2, 5.0), (1, 0, 2.0), (1, 1, 4.0), (1, 2, 6.0)]
+
+
+@pytest.mark.parametrize("n", [3, 5])
+def test_prm_and_parquet_round_trips(spark, tmp_path, n):
+    t = small(spark, n)
+    prm.write_prm(t, str(tmp_path / "t.prm"))
+    assert prm.read_prm_meta(str(tmp_path / "t.prm")).nnz == len({tuple(p[d] for d in t.meta.order[:2]) for p in POS[n]})  # of the root level
+    assert compare.equal(store.read_tensor(spark, str(tmp_path / "t.prm")), t)
+    store.write_tensor(t, str(tmp_path / "t"))
+    assert compare.equal(store.read_tensor(spark, str(tmp_path / "t")), t)
+    pattern = CooTensor(t.df.drop("vals"), replace(t.meta, matrix_type=MatrixType("CPG"), value_type="bool", shape=(*t.meta.shape[:-1], 1)))
+    prm.write_prm(pattern, str(tmp_path / "p.prm"))
+    assert compare.equal(prm.read_prm(spark, str(tmp_path / "p.prm")), pattern)
+
+
+def test_convert_changes_layout(spark, tmp_path):
+    path = write(tmp_path / "t.mtx", mtx_lines(3))
+    meta = store.convert(spark, path, str(tmp_path / "out"), index_dim=1)
+    assert meta.index_dim == 1 and meta.nnz == 9
+    assert store.read_meta(spark, str(tmp_path / "out")) == meta
+
+
+@pytest.mark.parametrize("n", [3, 5])
+@pytest.mark.parametrize("split", [False, True])
+def test_dense_round_trip_and_every_cell(spark, n, split):
+    t = small(spark, n)
+    m = t.meta
+    cells = dense.to_dense(t, split).collect()
+    assert len(cells) == m.elems * m.depths
+    assert sorted(c["idx"] for c in cells) == list(range(len(cells)))
+    for c in cells:
+        pos = tuple(c[d] for d in m.coords)
+        assert c["val"] == (spelled(pos, m.depths)[c["depth"]] if pos in POS[n] else 0)
+    back = dense.from_dense(dense.to_dense(t, split), m)
+    assert compare.differences(back.df.select(t.df.columns), t.df).isEmpty()
+
+
+def test_slice_without_and_with_index(spark):
+    t = small(spark, 5)
+    got = {(r.d1, r.d2, r.d3): r.val for r in dense.dense_slice(t, 1).where("depth = 0 and val <> 0").collect()}
+    assert got == {p[1:]: spelled(p, 3)[0] for p in POS[5] if p[0] == 1}
+    assert dense.dense_slice(t, 1, omit_index=False).where("val <> 0 and d0 = 0").isEmpty()
+    assert dense.dense_slice(t, 99).where("val <> 0").isEmpty()
+    both = {(r.d1, r.d2, r.d3): r.val for r in dense.accumulate_slices(t, [0, 1]).where("depth = 0 and val <> 0").collect()}
+    assert both == {p[1:]: spelled(p, 3)[0] for p in POS[5]}
+
+
+def test_lookup_missing_repeated_and_null_probes(spark):
+    t = small(spark, 3)
+    probes = spark.createDataFrame([(0, 1), (0, 1), (0, 0), (99, 0), (None, 1)], "a long, b long")
+    got = sorted((r.a if r.a is not None else -1, r.b, r.val) for r in access.lookup(t, probes, ["a", "b"], depth=1).collect())
+    assert got == [(-1, 1, 0.0), (0, 0, 0.0), (0, 1, 1.22), (0, 1, 1.22), (99, 0, 0.0)]
+    assert access.value_at(t, (4, 0), 1) == 5.12 and access.value_at(t, (24, 24)) == 0
+
+
+def test_ordinals_slices_and_lines(spark):
+    t = small(spark, 3)
+    flat = [r.val for r in access.ordinals(t).orderBy("idx").collect()]
+    assert flat == [v for p in sorted(POS[3]) for v in spelled(p, 2)]
+    assert [r.val for r in access.at_ordinals(t, [0, 3]).orderBy("idx").collect()] == [1.21, 1.32]
+    assert access.index_slice(t, 2).count() == 4 and access.index_slice(t, 77).count() == 0
+    assert {r.line for r in access.position_lines(t).collect()} == {f"{a} {b}" for a, b in POS[3]}
+    assert access.take_while(t, F.col("d0") < 2).count() == 3
+    assert access.for_each(t, lambda it: (x[["d0"]] for x in it), "d0 long").count() == 9
+
+
+@pytest.mark.parametrize("n", [3, 5])
+def test_reindex_twice_is_identity(spark, n):
+    t = small(spark, n)
+    once = layout.reindex(t)
+    assert once.meta.index_dim == t.meta.non_index_dim
+    assert compare.equal(layout.reindex(once), t) and not compare.equal(once, t)
+
+
+def test_csr_arrays_of_the_documented_graph(spark):
+    t = CooTensor(small(spark, 3).df.drop("vals"), TensorMeta(MatrixType("CPG"), "bool", (5, 5, 1), (1, 0, 2)))
+    assert [r.start for r in layout.offsets(t).orderBy("pos").collect()] == [0, 2, 4, 6, 8, 9]
+    assert [r.d0 for r in layout.positions(t, 1).orderBy("at").collect()] == [2, 4, 0, 2, 0, 3, 1, 2, 2]
+    assert [r.n for r in layout.histogram(t, 0).orderBy("pos").collect()] == [2, 1, 4, 1, 1]
+
+
+def test_offsets_stop_at_the_last_entry(spark):
+    df = spark.createDataFrame([(0, 1), (2, 1)], "d0 long, d1 long")
+    t = CooTensor(df, TensorMeta(MatrixType("CPG"), "bool", (9, 9, 1), (1, 0, 2)))
+    assert [(r.pos, r.start) for r in layout.offsets(t).orderBy("pos").collect()] == [(0, 0), (1, 0), (2, 2)]
+    empty = CooTensor(df.limit(0), t.meta)
+    assert [(r.pos, r.start) for r in layout.offsets(empty).collect()] == [(0, 0)]
+
+
+def test_ranges(spark):
+    got = [(r.min_pos, r.max_pos) for r in layout.equal_width(spark, 10, 4).orderBy("range_id").collect()]
+    assert got == [(0, 3), (3, 6), (6, 9), (9, 10)]
+    assert layout.equal_width(spark, 0, 4).count() == 0
+    assert [(r.min_pos, r.max_pos) for r in layout.clone_range(spark, 2, 7).collect()] == [(0, 7), (0, 7)]
+    t = small(spark, 3)
+    ranges = layout.nnz_balanced(t, 3).collect()
+    assert sum(r.nnz for r in ranges) == 9
+    assert layout.max_ranges(100, 30, 8) == 4 and layout.max_ranges(100, 1, 8) == 8 and layout.max_ranges(0, 5, 8) == 1
+    assert sum(r.nnz for r in layout.partition_ranges(t.df, "d0").collect()) == 9
+
+
+def test_duplicates_and_bounds(spark):
+    df = spark.createDataFrame([(0, 0, [1.0]), (0, 0, [2.0]), (5, 0, [1.0]), (None, 0, [1.0])], "d0 long, d1 long, vals array<double>")
+    t = CooTensor(df, TensorMeta(MatrixType("CRG"), "f64", (3, 3, 1), (0, 1, 2)))
+    assert [tuple(r) for r in ingest.duplicates(df, ["d0", "d1"]).collect()] == [(0, 0, 2)]
+    assert ingest.out_of_bounds(t).count() == 2
+    with pytest.raises(ValueError):
+        ingest.validate(t)
+    assert ingest.validate(small(spark, 3)).meta.nnz == 9
+
+
+def test_from_columns(spark):
+    t = from_columns(spark.createDataFrame([(1, 2, 3.0), (4, 0, 5.0)], "a int, b long, v double"), ["a", "b"], ["v"])
+    assert t.meta.shape == (5, 3, 1) and t.meta.matrix_type.tag == "CRG"
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.integers(0, 1 << 40), min_size=1, max_size=40))
+def test_encoding_costs(spark, values):
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v long")
+    width = lambda x: max(1, (x.bit_length() + 7) // 8)
+    plain = min(width(max(values)), width(max(values) - min(values)))
+    s = encode.width_stats(df, "v").first()
+    assert (s.n, s.min_value, s.max_value, s.width) == (len(values), min(values), max(values), plain)
+    want = {0: plain * len(values)}
+    for bits in range(1, 64):
+        if bits > 1 and 1 << (bits - 1) > len(values) - 1:
+            break
+        blocks = [values[i : i + (1 << bits)] for i in range(0, len(values), 1 << bits)]
+        if all(b[-1] >= b[0] for b in blocks):
+            want[bits] = len(values) * width(max(b[-1] - b[0] for b in blocks)) + 8 * len(blocks)
+    best = encode.best_encoding(df, "i", "v").first()
+    assert (best.bytes, best.bits) == min((c, b) for b, c in want.items())
+
+
+@settings(max_examples=25, deadline=None)
+@given(values=st.lists(st.integers(0, (1 << 50) - 1), max_size=50))
+def test_packed_arrays(values):
+    import io
+
+    import numpy as np
+
+    assert prm.unpack(io.BytesIO(prm.pack(np.array(values, np.uint64))), 8).tolist() == values
+
+
+def test_packed_arrays_with_a_sketch():
+    import io
+    import struct
+
+    raw = struct.pack("<IIQQIQ", 1, 1, 100, 0, 1, 2) + struct.pack("<II", 10, 20) + struct.pack("<Q", 3) + bytes([0, 1, 2])
+    assert prm.unpack(io.BytesIO(raw), 4).tolist() == [110, 111, 122]
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([(0, 3), (7, 0), (7, 3), (8, 4), (1, 1)], "a long, b long")
+    assert [r[0] for r in df.select(scalars.ceil_div(F.col("a"), F.col("b"))).collect()] == [0, (1 << 63) - 1, 3, 2, 1]
+    assert [r[0] for r in df.select(scalars.log2_floor(F.col("a"))).collect()] == [(1 << 32) - 1, 2, 2, 3, 0]
+    tops = spark.createDataFrame([(0,), (255,), (256,), (1 << 24,), ((1 << 56) + 1,)], "v long")
+    assert [r[0] for r in tops.select(scalars.encode_size(F.col("v"))).collect()] == [1, 1, 2, 4, 8]
+    nums = spark.createDataFrame([(0.0,), (1.5,), (123456.0,), (1234567.0,), (-0.00001,), (0.1234567,)], "x double")
+    assert [r[0] for r in nums.select(scalars.format_value(F.col("x"))).collect()] == ["0", "1.5", "123456", "1.23457e+06", "-1e-05", "0.123457"]
+    z = spark.sql("select named_struct('re', 3.0D, 'im', 4.0D) as z, array(1, 2, 3) as v, '(1, 2)' as t, '[]' as e")
+    row = z.select(scalars.complex_abs(F.col("z")), scalars.complex_mul(F.col("z"), scalars.complex_conj(F.col("z"))), scalars.format_vector(F.col("v"), 2), scalars.format_vector(F.col("v")), scalars.parse_vector(F.col("t")), scalars.parse_vector(F.col("e"))).first()
+    assert row[0] == 5.0 and row[1]["re"] == 25.0 and row[1]["im"] == 0.0
+    assert list(row[2:]) == ["[1, 2, ...]", "[1, 2, 3]", [1, 2], []]
+
+
+def test_text_helpers():
+    assert text.parse_dict("[a:(1,2);b:x]") == {"a": "(1,2)", "b": "x"}
+    with pytest.raises(ValueError):
+        text.parse_dict("[a:]")
+    assert text.parse_ints("(1,2,3)") == (1, 2, 3)
+    assert (text.file_name("/a/b.i1.prm"), text.file_extensions("/a/b.i1.prm"), text.directory("/a/b.i1.prm")) == ("b", ".i1.prm", "/a")
+    assert text.layout_path("x/m.mtx", "out", 1) == "out/m.i1.prm"
+    assert text.layout_path_after_change("out/m.i1.prm") == "out/m.i0.prm" and text.layout_of("m.prm") is None
+    assert infer_value_type(MatrixType("CIS")) == "i64" and infer_value_type(MatrixType("CCG"), "f32") == "c32"
+
+
+def test_linear_index_inverse(spark):
+    m = META[5]
+    for split, (p, d) in product((False, True), [((1, 2, 3, 3), 2), ((0, 0, 0, 0), 0), ((1, 4, 4, 3), 1)]):
+        row = spark.createDataFrame([p], ", ".join(f"{c} long" for c in m.coords))
+        idx = row.select(dense.linear_index(m, d, split).alias("i"))
+        back = idx.select(*(c.alias(k) for k, c in dense.linear_unindex(m, F.col("i"), split).items())).first()
+        assert tuple(back[c] for c in m.coords) == p and back["depth"] == d
+
+
+def test_set_value_and_describe(spark):
+    t = small(spark, 3)
+    new = spark.createDataFrame([(0, 0, 0, 9.5)], "d0 long, d1 long, depth long, val double")
+    out = dense.set_value(dense.to_dense(t), t.meta.coords, new)
+    assert out.where("d0 = 0 and d1 = 0 and depth = 0").first()["val"] == 9.5
+    said = compare.describe(t, 2)
+    assert "nnz: 9" in said and "data: [1.21, 1.22, 1.31, 1.32, ...]" in said
