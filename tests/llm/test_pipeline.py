@@ -26,7 +26,7 @@ def sf(spark, tmp_path_factory):
         if i % 10 == 2:
             text += " " + items[i % 5][1]
         if i % 10 == 3:
-            text = " ".join(w + "###" for w in text.split())
+            text = " ".join(w + "#$%&*|~" for w in text.split())
         docs.append((i, text, ("en", None)[i % 7 == 0], ("a", "b", None)[i % 3], len(text)))
     docs += [(None, docs[0][1], "en", "a", 5), (None, prose(rng, 90), None, None, None), (90, None, "en", "a", None), (91, "", None, None, 0), docs[5], docs[5]]
     path = tmp_path_factory.mktemp("sf")
@@ -50,7 +50,7 @@ def test_stages(spark, sf):
         seen.append((name, before, after))
         docs, before = out, after
     quality, dedup, clean, mix = seen
-    assert len(quality[2]) < len(quality[1]) and not any(r[1] is None or len(r[1].split()) < 50 or "###" in r[1] for r in quality[2])
+    assert len(quality[2]) < len(quality[1]) and not any(r[1] is None or len(r[1].split()) < 50 or "#$%&*" in r[1] for r in quality[2])
     named = [r for r in dedup[1] if r[0] is not None]
     named.sort(key=lambda r: r[0])
     roots = components([plain_fingerprint(r[1]) for r in named])
