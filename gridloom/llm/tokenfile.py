@@ -31,6 +31,7 @@ import string
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,7 @@ SAMPLE_CHARS = 16_000  # characters of each of them
 DICT_BYTES = 64 << 10
 LEVEL = 3
 DOCS_PER_SHARD = 8192
+MOST_SHARDS = 50_000  # beyond it shards get larger
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 
@@ -219,19 +221,19 @@ class ShardWriter:
         fs, at = open_fs(self.path)
         self.out = fs.open_output_stream(at)
         self.shard, self.at, self.tokens = shard, HEAD, 0
-        self.ids, self.sizes, self.crcs, self.offsets = [], [], [], [HEAD]
+        self.ids, self.has, self.sizes, self.crcs, self.offsets = array("q"), array("B"), array("Q"), array("Q"), array("Q", [HEAD])
         self.out.write(MAGIC + digest + bytes([width]) + bytes(7))
 
     def add(self, doc_id: int | None, n_tokens: int, crc: int, frame: bytes) -> None:
         self.out.write(frame)
         self.at += len(frame)
         self.tokens += n_tokens
-        for to, x in ((self.ids, doc_id), (self.sizes, n_tokens), (self.crcs, crc), (self.offsets, self.at)):
+        for to, x in ((self.ids, doc_id or 0), (self.has, doc_id is not None), (self.sizes, n_tokens), (self.crcs, crc), (self.offsets, self.at)):
             to.append(x)
 
     def close(self) -> tuple:
         n = len(self.ids)
-        self.out.write(np.array([x or 0 for x in self.ids], "<i8").tobytes() + np.array([x is not None for x in self.ids], "u1").tobytes())
+        self.out.write(np.array(self.ids, "<i8").tobytes() + np.array(self.has, "u1").tobytes())
         self.out.write(np.array(self.offsets, "<u8").tobytes() + np.array(self.sizes, "<u8").tobytes() + np.array(self.crcs, "<u4").tobytes())
         self.out.write(struct.pack("<QQ", self.at, n) + MAGIC)
         self.out.close()
@@ -273,7 +275,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, id_col: str = "doc_
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     n = docs.count()
-    shards = max(1, -(-n // docs_per_shard))
+    shards = max(1, min(-(-n // docs_per_shard), MOST_SHARDS))
     cuts: list[int] = []
     if shards > 1:
         part = ", ".join(f"{i / shards!r}D" for i in range(1, shards))
