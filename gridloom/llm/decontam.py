@@ -32,7 +32,7 @@ SPAN = 13
 K = 4
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BITS_MOST = 1 << 20  # bits of the table in the scan, 128 KB
+BITS_MOST = 1 << 22  # bits of the table in the scan, 512 KB
 BITS_EACH = 32
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
