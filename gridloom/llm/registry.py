@@ -22,5 +22,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": urlfilter.oracle(),
     "op5_mixture": mixture.ORACLE,
     "op7_decontaminate": decontam.ORACLE,
+    "op8_warc": warc.ORACLE,
     "op9_secrets": secrets.ORACLE,
 }

@@ -38,6 +38,7 @@ from ..storage import cut, fresh_path
 
 CHUNK = 64 << 10
 ROWS_PER_FILE = 8192
+MOST_FILES = 50_000  # beyond it files get larger
 DATE = "2024-01-01T00:00:00Z"  # no clock: reruns write the same bytes
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NONE = "none"
@@ -189,7 +190,7 @@ def write_warc(pages: DataFrame, root: str, rows_per_file: int = ROWS_PER_FILE,
             path, k = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int64())], ["path", "n"])
 
-    placed = heads.union(bodies).repartition(max(1, -(-n // rows_per_file)), "record").sortWithinPartitions("record", "chunk_no")
+    placed = heads.union(bodies).repartition(max(1, min(-(-n // rows_per_file), MOST_FILES)), "record").sortWithinPartitions("record", "chunk_no")
     return cut(placed.mapInArrow(write, "path string, n long"), "manifest")
 
 
@@ -222,3 +223,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every page's record as read back from the archives written."""
     root = fresh_path(spark, "warc")
     return read_warc(write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), root))
+
+
+_BIT = "case substr(bits, i * 5 + j + 1, 1) when '1' then 16 >> j else 0 end"
+ORACLE = f"""
+with p as (
+  select page_id, strlen(coalesce(html, ''))::bigint as n, from_hex(sha1(coalesce(html, '')))::bit::varchar as bits from pages),
+d as (
+  select page_id, n, list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum([{_BIT} for j in range(5)])::int, 1) for i in range(32)], 'string_agg', '') as digest from p),
+g as (select *, max(page_id) over (partition by n, digest) as top, count(*) over (partition by n, digest) as k from d)
+select page_id, n as payload_bytes, digest as payload_digest,
+  case when k > 1 and page_id is distinct from top then 'revisit' else 'response' end as record_type,
+  case when k > 1 and page_id is distinct from top then top end as refers_to
+from g
+"""
