@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from ..tensor import CooTensor
 from .access import with_ordinal
 
@@ -33,7 +34,8 @@ def histogram(t: CooTensor, dim: int) -> DataFrame:
 def running_sum(df: DataFrame, key: str, value: str, name: str, width: int = 4096) -> DataFrame:
     """Exclusive prefix sum of ``value`` along an integer ``key``, in blocks of ``width`` keys.
 
-    Blocks are summed first, only the blocks' totals meet in one window.
+    Blocks are summed first, only the blocks' totals meet in one window. The input is used
+    twice, so it should be a table and not a plan over the entries.
     """
     block = F.call_function("div", F.col(key), F.lit(width))
     cut_ = df.withColumn("_b", block)
@@ -46,11 +48,11 @@ def running_sum(df: DataFrame, key: str, value: str, name: str, width: int = 409
 def offsets(t: CooTensor, dim: int | None = None) -> DataFrame:
     """Offsets of a compressed index: (pos, start) for 0 up to the last non-empty position plus one."""
     dim = t.meta.index_dim if dim is None else dim
-    end = t.df.agg(F.max(f"d{dim}")).first()[0]
-    end = -1 if end is None else end
-    counts = histogram(t, dim).where(F.col("pos") <= end)
-    closing = t.df.sparkSession.range(end + 1, end + 2).select(F.col("id").alias("pos"), F.lit(0).cast("long").alias("n"))
-    return running_sum(counts.union(closing), "pos", "n", "start").select("pos", "start")
+    counts = cut(t.df.groupBy(F.col(f"d{dim}").alias("pos")).agg(F.count("*").alias("n")), "counts")
+    end = counts.agg(F.max("pos")).first()[0]
+    every = t.df.sparkSession.range(1 if end is None else end + 2).select(F.col("id").alias("pos"))
+    filled = every.join(counts, "pos", "left").select("pos", F.coalesce("n", F.lit(0)).alias("n"))
+    return running_sum(filled, "pos", "n", "start").select("pos", "start")
 
 
 def positions(t: CooTensor, dim: int | None = None) -> DataFrame:
@@ -80,9 +82,9 @@ def nnz_balanced(t: CooTensor, k: int) -> DataFrame:
 
     A position belongs to the range in which its first entry's ordinal falls; empty ranges are left out.
     """
-    counts = histogram(t, t.meta.index_dim)
-    total = t.df.count()
-    summed = running_sum(counts, "pos", "n", "start").where("n > 0")
+    counts = cut(t.df.groupBy(F.col(f"d{t.meta.index_dim}").alias("pos")).agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    summed = running_sum(counts, "pos", "n", "start")
     bucket = F.call_function("div", F.col("start") * k, F.lit(max(1, total)))
     return summed.groupBy(bucket.cast("long").alias("range_id")).agg(F.min("pos").alias("min_pos"), (F.max("pos") + 1).alias("max_pos"), F.sum("n").alias("nnz"))
 
@@ -99,7 +101,7 @@ def partition_ranges(df: DataFrame, key: str) -> DataFrame:
 
 def range_offsets(ranges: DataFrame) -> DataFrame:
     """Exclusive running sum of range sizes: adds ``offset``."""
-    return running_sum(ranges, "range_id", "nnz", "offset")
+    return running_sum(cut(ranges, "ranges"), "range_id", "nnz", "offset")
 
 
 def bucket_of(pos: Column, n: int, k: int) -> Column:

@@ -47,18 +47,24 @@ class _Jacobi(Program):
     def __init__(self, edges: DataFrame, num_nodes: int, damping: float, max_residual: float, freeze_tail: bool):
         self.n, self.damping, self.max_residual = num_nodes, damping, max_residual
         spark = edges.sparkSession
-        edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
-        self.degrees = cut(out_degrees(edges), "degrees")
+        links = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.degrees = cut(out_degrees(links), "degrees")
+        top = links.agg(F.max("dst")).first()[0] if freeze_tail else num_nodes - 1
+        self.top = -1 if top is None else top
         self.small = num_nodes <= BROADCAST_NODES
+        self.held = [links]
         if self.small:
-            self.edges = edges
+            self.edges = links
         else:
             parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
             heavy = self.degrees.where(F.col("degree") > HEAVY).select("src", F.ceil(F.col("degree") / HEAVY).alias("lanes"))
-            self.edges = edges.join(heavy, "src", "left").select("src", "dst", F.when(F.col("lanes").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("dst"), F.col("lanes"))).cast("int").alias("lane")).repartition(parts, "src", "lane")
-        self.edges = self.edges.persist(StorageLevel.MEMORY_AND_DISK)
-        top = edges.agg(F.max("dst")).first()[0] if freeze_tail else num_nodes - 1
-        self.top = -1 if top is None else top
+            lane = F.when(F.col("lanes").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("dst"), F.col("lanes"))).cast("int").alias("lane")
+            self.edges = links.join(heavy, "src", "left").select("src", "dst", lane).repartition(parts, "src", "lane").persist(StorageLevel.MEMORY_AND_DISK)
+            self.held.append(self.edges)
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
     def init(self) -> DataFrame:
         spark = self.degrees.sparkSession
@@ -131,7 +137,7 @@ def pagerank(edges: DataFrame, num_nodes: int, damping: float = 0.85, max_iterat
     try:
         r = run(program, max_iterations)
     finally:
-        program.edges.unpersist()
+        program.release()
     return Ranked(r.state.select("page", "score"), r.history[-1]["residual"] if r.history else float("inf"), r.iterations)
 
 
