@@ -9,8 +9,9 @@ whose features are hashes of words and word stems; the features that tell the
 classes apart in the posteriors (at most FEATURES) have weights, all others none. Every whole text is scored by it.
 
 Labels are taken from rows outside the held-out quarter (crc32 of the id mod 4 is 2) and
-only from the TRAIN_MOST of them with the least hash of their id; what leaves the executors is feature
-hashes and votes of these. Neither label, language, source nor id enters a score.
+only from the TRAIN_MOST of them with the least hash of their id. Their features are written once and
+counted on the executors; what the driver gets is at most CANDIDATES counted features, then
+each row's votes and which of these features it has. Neither label, language, source nor id enters a score.
 
 Nulls: a null text is empty and gets the classifier's prior; null ids or labels are not trained on.
 Repeated label rows of an id count once, as toxic if any says so. Without labels
@@ -29,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 HELD_OUT = (4, 2)  # crc32 of the id modulo the first is the second
-TRAIN_MOST = 12_000  # labelled rows that are trained on
+TRAIN_MOST = 20_000  # labelled rows that are trained on
+CANDIDATES = 20_000  # features that the driver gets to see
 FEATURES = 3000
 MINED = 240  # mined stems, dealt to MINED_VOTERS voters
 MINED_VOTERS = 12
 THRESHOLD = 0.3
+LOOSE = 0.4  # the same among candidates, by given labels
 PURE = 0.6  # share of positive rows that a telling feature needs
 STEMS = (4, 5, 6, 7)
 
@@ -187,10 +192,8 @@ def held_out(id_: Column) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % HELD_OUT[0] == HELD_OUT[1]
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_MOST) -> tuple[dict[int, float], float]:
-    """Fit voters, label model and classifier on at most ``most`` labelled rows that are not held out."""
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+def _feature_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (doc_id, toxic, features, votes) of the labelled documents, in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,11 +202,48 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_MOST) -> tuple[d
             votes = [np.array(fixed_votes(t), np.int8).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(feats, pa.binary()), pa.array(votes, pa.binary())], ["doc_id", "toxic", "features", "votes"])
 
-    rows = docs.join(known, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, features binary, votes binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["features"]))
-    feats = [np.frombuffer(r["features"], np.uint32) for r in rows]
-    votes = np.stack([np.frombuffer(r["votes"], np.int8) for r in rows]) if rows else np.zeros((0, 1))
-    return fit(feats, votes.astype(int), np.array([r["toxic"] for r in rows], float))
+    return cut(docs.join(known, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, features binary, votes binary"), "training")
+
+
+def _candidates(rows: DataFrame, n: int, positive: int) -> np.ndarray:
+    """The features that tell the given labels apart best, at most CANDIDATES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            toxic = b.column(0).to_numpy(zero_copy_only=False)
+            feats = [np.frombuffer(f, np.uint32) for f in b.column(1).to_pylist()]
+            flat = np.concatenate([*feats, np.zeros(0, np.uint32)])
+            kinds, at = np.unique(flat, return_inverse=True)
+            pos = np.bincount(at, np.repeat(toxic, [len(f) for f in feats]), len(kinds)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(np.bincount(at, minlength=len(kinds))), pa.array(pos)], ["feature", "every", "pos"])
+
+    counted = rows.select("toxic", "features").mapInArrow(run, "feature long, every long, pos long").groupBy("feature").agg(F.sum("every").alias("every"), F.sum("pos").alias("pos"))
+    share = positive / n
+    z = (F.col("pos") - F.col("every") * share) / F.sqrt(F.col("every") * (share * (1 - share)))
+    best = counted.where((F.col("pos") >= 2) & (F.col("pos") >= LOOSE * (F.col("every") + 1))).withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "feature").limit(CANDIDATES)
+    return np.sort(np.array([r[0] for r in best.select("feature").collect()], np.uint32))
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_MOST) -> tuple[dict[int, float], float]:
+    """Fit voters, label model and classifier on at most ``most`` labelled rows that are not held out."""
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    rows = _feature_rows(docs, known)
+    n, positive = rows.agg(F.count("*"), F.sum("toxic")).first()
+    if not n or not 0 < positive < n:
+        return lexicon_model()
+    chosen = _candidates(rows, n, positive)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            feats = [np.intersect1d(np.frombuffer(f, np.uint32), chosen, assume_unique=True).tobytes() for f in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(feats, pa.binary()), b.column(3)], ["doc_id", "toxic", "features", "votes"])
+
+    got = rows.mapInArrow(narrow, rows.schema).collect()
+    got.sort(key=lambda r: (r["doc_id"], bytes(r["features"]), bytes(r["votes"])))
+    feats = [np.frombuffer(r["features"], np.uint32) for r in got]
+    votes = np.stack([np.frombuffer(r["votes"], np.int8) for r in got]).astype(int)
+    return fit(feats, votes, np.array([r["toxic"] for r in got], float))
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
