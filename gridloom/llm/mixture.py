@@ -12,8 +12,9 @@ neighbour of about the same size gets too little, and a source's words miss its
 about one large document at most. A prefix sum over a source would put a hot source in one
 task; as the expectation is the same in all of a source, the sum is a rank. Ranks
 are built from counts: documents per (source, size) are counted first and only these counts are
-summed along the source; within a cell, documents are dealt to lanes of about LANE rows,
-the lanes' counts are summed, and only then are rows numbered, within a lane.
+summed along the source; within a cell of n documents, these are dealt to lanes of LANE rows or
+sqrt(n), whichever is more, the lanes' counts are summed, and only then are rows numbered,
+within a lane, so no window holds more rows than that.
 
 DataFrame functions only. Nulls: a null text has size 0; a null source is a source of its
 own and comes last; a null doc_id comes first within its cell. Repeated rows are documents
@@ -30,7 +31,7 @@ from ..storage import cut
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times a source's size that its target may be
 DRAWS = 64  # random offsets of which each source uses the best
-LANE = 50_000  # rows that are numbered in one group
+LANE = 1000  # rows that are numbered in one group at least
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20_011
 
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     plan = targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words")), weights, most)
     down = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).withColumn("lanes", F.ceil(F.col("n") / lane)).alias("c")
+    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).withColumn("lanes", F.ceil(F.col("n") / F.greatest(F.lit(float(lane)), F.sqrt("n")))).alias("c")
     cells = cells.join(plan.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).select("c.*", "place", "source_size", "target")
     cells = cut(cells.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "cells")
     cells = cells.join(offsets(cells, seed), "place")
@@ -120,7 +121,7 @@ plan as (
 ranked as (
   select s.doc_id, s.source, s.size, count(*) over (partition by s.source, s.size) as n, row_number() over (partition by s.source order by s.size desc) as any_rank from sized s),
 lanes as (
-  select *, ((coalesce(doc_id, -1) % ceil(n / {LANE})::bigint) + ceil(n / {LANE})::bigint) % ceil(n / {LANE})::bigint as lane from ranked),
+  select *, ((coalesce(doc_id, -1) % k) + k) % k as lane from (select *, ceil(n / greatest({LANE}::double, sqrt(n)))::bigint as k from ranked)),
 numbered as (
   select l.doc_id, l.size, p.place, p.source_size, p.target,
     row_number() over (partition by p.place order by l.size desc, l.lane, l.doc_id nulls first) as rk
