@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation
 
-from ..storage import drop_table, fresh_path
+from ..storage import delete_path, fresh_path
 
 
 class Program:
@@ -43,7 +43,7 @@ class Result:
     history: list[dict] = field(default_factory=list)
 
 
-def _settle(df: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
+def _settle(df: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, dict, str]:
     spark = df.sparkSession
     path = fresh_path(spark, "state")
     if metrics:
@@ -53,17 +53,17 @@ def _settle(df: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, dict]
     else:
         df.write.parquet(path)
         found = {}
-    return spark.read.schema(df.schema).parquet(path), found
+    return spark.read.schema(df.schema).parquet(path), found, path
 
 
 def run(program: Program, max_iterations: int) -> Result:
     """Supersteps until ``stop`` or ``max_iterations``."""
-    state, _ = _settle(program.init(), {})
+    state, _, path = _settle(program.init(), {})
     history: list[dict] = []
     for i in range(1, max_iterations + 1):
-        new, found = _settle(program.step(state), program.metrics())
-        drop_table(state)
-        state = new
+        new, found, written = _settle(program.step(state), program.metrics())
+        delete_path(new.sparkSession, path)
+        state, path = new, written
         history.append(found)
         if program.stop(i, found):
             break

@@ -4,8 +4,8 @@ score = (1 - d) / N + d * sum over in-neighbours of score / out-degree. Mass of
 without out-links is not spread and scores are not normalised. With ``freeze_tail`` pages after the last one with an
 in-link keep their first score.
 
-Scores are kept divided by out-degree, so an iteration is one join of edges and
-scores, one sum by target (partial before its shuffle) and one join with the pages. While
+An iteration is one join of edges and scores divided by out-degree and one aggregation by
+page, partial before its shuffle, that takes the arriving shares and the old state together. While
 the scores are small enough (counted, BROADCAST_NODES) they are broadcast and edges do not move; beyond
 that edges are partitioned by source once, and sources with over HEAVY links are dealt to
 several partitions with their score repeated for each.
@@ -80,10 +80,14 @@ class _Jacobi(Program):
             lanes = F.when(F.col("degree") > HEAVY, F.ceil(F.col("degree") / HEAVY)).otherwise(F.lit(1))
             spread = share.select("src", "share", F.explode(F.sequence(F.lit(0), lanes.cast("int") - 1)).alias("lane"))
             joined = self.edges.join(spread, ["src", "lane"])
-        sums = joined.groupBy(F.col("dst").alias("page")).agg(F.sum("share").alias("s"))
+        # Shares and the old state meet in one aggregation, so the state is not shuffled for a join of its own.
+        none = F.lit(None)
+        arrived = joined.select(F.col("dst").alias("page"), "share", none.cast("long").alias("degree"), none.cast("double").alias("score"))
+        old = state.select("page", none.cast("double").alias("share"), "degree", "score")
+        met = arrived.union(old).groupBy("page").agg(F.sum("share").alias("s"), F.max("degree").alias("degree"), F.max("score").alias("score")).where("degree is not null")
         new = (1 - self.damping) / self.n + self.damping * F.coalesce("s", F.lit(0.0))
         kept = F.when(F.col("page") <= self.top, new).otherwise(F.col("score"))
-        return state.join(sums, "page", "left").select("page", "degree", kept.alias("score"), F.abs(kept - F.col("score")).alias("change"))
+        return met.select("page", "degree", kept.alias("score"), F.abs(kept - F.col("score")).alias("change"))
 
     def metrics(self) -> dict[str, Column]:
         return {"residual": F.sum("change")}
