@@ -8,10 +8,10 @@ with the logarithm of the component size and not with its diameter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..storage import cut, drop_table
+from ..storage import cut, delete_path, fresh_path
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,17 +40,19 @@ def star_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: in
     """
     pairs = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
     touched = cut(pairs.distinct(), "edges")
-    now, last = touched.where("u <> v"), None
-    old = None
+    now, last, old = touched.where("u <> v"), None, None
+    spark = edges.sparkSession
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)), "star")
-        n, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        step, seen, path = _small_star(_large_star(now)), Observation(), fresh_path(spark, "star")
+        # The count and the checksum are taken while the round is written.
+        step.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")).write.parquet(path)
+        now, mark = spark.read.schema(step.schema).parquet(path), (seen.get["n"], seen.get["mark"])
         if old is not None:
-            drop_table(old)
-        old = now
-        if (n, mark) == last:
+            delete_path(spark, old)
+        old = path
+        if mark == last:
             break
-        last = (n, mark)
+        last = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = touched.select(F.col("u").alias("node")).union(touched.select(F.col("v").alias("node"))).distinct()
