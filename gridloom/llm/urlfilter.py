@@ -97,7 +97,7 @@ def path_of(url: Column) -> Column:
 
 def _score(host: str, path: str, bias: float, weights: tuple[float, ...]) -> Column:
     w = F.expr("array(" + ",".join(f"{x!r}D" for x in weights) + ")")
-    codes = F.transform(F.split(F.concat(F.lit("^"), F.col(host), F.lit("|"), F.col(path), F.lit("$")), ""), F.ascii)
+    codes = F.transform(F.regexp_extract_all(F.concat(F.lit("^"), F.col(host), F.lit("|"), F.col(path), F.lit("$")), F.lit("(?s)."), F.lit(0)), F.ascii)
     three = F.zip_with(codes, F.slice(codes, 2, 1 << 30), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     value = F.zip_with(three, F.slice(codes, 3, 1 << 30), lambda p, c: F.get(w, ((p["a"] * 961 + p["b"] * 31 + c) % BUCKETS).cast("int")))
     known = F.filter(value, lambda x: x.isNotNull())
@@ -137,7 +137,7 @@ hp as (
   select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u),
 w as (select [{",".join(f"{x!r}::double" for x in weights)}] as w),
 c as (
-  select *, [ascii(x) for x in string_split('^' || host || '|' || path || '$', '')] as c from hp),
+  select *, [ascii(x) for x in regexp_extract_all('^' || host || '|' || path || '$', '(?s).')] as c from hp),
 s as (
   select page_id, host, path, list_transform(range(1, len(c) - 1), lambda i: w.w[(c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % {BUCKETS} + 1]) as v from c, w)
 select page_id, host, path, case {case(lambda h, p, v: h + p)} end as rule,

@@ -8,6 +8,7 @@ import corpus_pipeline as pipeline
 from conftest import prose
 from gridloom.llm import simhash
 from test_decontam import plain as plain_hits
+from test_tokenfile import expected as expected_tokens
 from test_simhash import components, plain_fingerprint
 
 pytest.importorskip("public_tokenizers")
@@ -62,6 +63,8 @@ def test_stages(spark, sf):
     assert all(mix[2].count(r) <= 3 * mix[1].count(r) for r in set(mix[2]))
     total = sum(len(r[1].split()) for r in mix[1])
     assert abs(sum(len(r[1].split()) for r in mix[2]) - total) < 0.25 * total
+    last = pipeline.token_ids(spark, docs, path).collect()
+    assert sorted(map(tuple, last), key=lambda r: r[1]) == expected_tokens(mix[2])
 
 
 def test_run(spark, sf):

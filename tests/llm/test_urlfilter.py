@@ -17,6 +17,7 @@ URLS = [
     (10, "a://b://c/d", "b:", "//c/d", None, None),
     (11, "http://h?q=/x", "h", "", None, None),
     (12, "http://ÄB.net/Ä?", "Äb.net", "/Ä", None, None),
+    (16, "http://\U0001f600.net/\U0001f600e\u0301\nx", "\U0001f600.net", "/\U0001f600e\u0301\nx", None, None),
     (13, "http://org/", "org", "/", "org/", "allow"),
     (14, "http://", "", "", None, None),
     (15, "http://a.com#f/de/", "a.com", "", None, None),
@@ -46,8 +47,10 @@ def test_model_on_held_out_hosts(spark):
 def test_plan_scores_like_plain_python(spark):
     bias, weights = urlfilter.train(tuple(urlfilter.default_table()))
     df = spark.createDataFrame([(i, u) for i, (_, u, *_) in enumerate(URLS)], "page_id long, url string")
+    assert df.count() == len(URLS)
     for r in urlfilter.judge(df).collect():
         g = urlfilter.grams(*urlfilter.split_url(URLS[r.page_id][1]))
+        assert len(g) > 0
         want = bias + sum(weights[k] * n for k, n in g.items()) / max(1, sum(g.values())) ** 0.5
         assert r.score == pytest.approx(want)
 
