@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     d = sub.add_parser("describe", help="print metadata and the first items")
     d.add_argument("source")
     d.add_argument("--max-items", type=int, default=10)
+    d.add_argument("--encodings", action="store_true", help="also print how the index and positions encode")
     r = sub.add_parser("pagerank", help="rank the pages of a matrix read as links row -> column")
     r.add_argument("source")
     r.add_argument("--damping-factor", type=float, default=0.85)
@@ -56,7 +57,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             convert(spark, a.source, a.target, {None: None, "csr": 0, "csc": 1}[a.layout], a.data_type_hint)
         print(f"convert_time_ms,{(time.perf_counter() - began) * 1000:.0f}")
     elif a.command == "describe":
-        print(describe(read_tensor(spark, a.source), a.max_items))
+        print(describe(read_tensor(spark, a.source), a.max_items, a.encodings))
     elif a.command == "pagerank":
         edges, n = links(spark, a.source)
         r = pagerank(edges, n, a.damping_factor, a.max_iterations, a.max_residual, "gauss_seidel" if a.update_score_in_place else "jacobi")

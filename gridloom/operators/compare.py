@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..tensor import CooTensor
 from .access import with_ordinal
+from .encode import best_encoding, width_stats
+from .layout import offsets
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -24,11 +26,19 @@ def equal(a: CooTensor, b: CooTensor) -> bool:
     return differences(a.df, b.df).isEmpty()
 
 
-def describe(t: CooTensor, most: int = 10) -> str:
-    """Type, shape, order, entries and the first coordinates and values in storage order."""
+def describe(t: CooTensor, most: int = 10, encodings: bool = False) -> str:
+    """Type, shape, order, entries and the first coordinates and values in storage order.
+
+    With ``encodings``, also the cheapest encoding of the index offsets and of the positions.
+    """
     m = t.meta
     lines = [f"type: {m.matrix_type.long_name}", f"data type: {m.value_type}", f"shape: {list(m.shape)}", f"order: {list(m.order)}", f"nnz: {t.count()}"]
-    rows = with_ordinal(t.df, m.storage_coords).where(F.col("ordinal") < most).orderBy("ordinal").collect()
+    placed = with_ordinal(t.df, m.storage_coords)
+    if encodings and m.non_depth_dims > 1:
+        for name, df, idx, value in (("index", offsets(t), "pos", "start"), ("positions", placed, "ordinal", f"d{m.non_index_dim}")):
+            b, w = best_encoding(df, idx, value).first(), width_stats(df, value).first()
+            lines.append(f"{name}: {w['n']} items from {w['min_value']} to {w['max_value']}, sketch bits {b['bits']}, {b['width']} bytes an item, {b['bytes']} bytes")
+    rows = placed.where(F.col("ordinal") < most).orderBy("ordinal").collect()
     more = ", ..." if lines and len(rows) == most else ""
     for c in m.storage_coords:
         lines.append(f"{c}: [{', '.join(str(r[c]) for r in rows)}{more}]")

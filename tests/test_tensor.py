@@ -259,7 +259,19 @@ def test_packed_arrays(values):
 
     import numpy as np
 
-    assert prm.unpack(io.BytesIO(prm.pack(np.array(values, np.uint64))), 8).tolist() == values
+    for v in (values, sorted(values)):
+        for width in (8,) if max(values, default=0) >> 32 else (4, 8):
+            assert prm.unpack(io.BytesIO(prm.pack(np.array(v, np.uint64), width)), width).tolist() == v
+
+
+def test_sorted_arrays_pack_smaller_with_a_sketch():
+    import io
+
+    import numpy as np
+
+    v = np.arange(10_000) * 3 + 1_000_000
+    raw = prm.pack(v)
+    assert len(raw) < 2 * len(v) and prm.unpack(io.BytesIO(raw), 8).tolist() == v.tolist()
 
 
 def test_packed_arrays_with_a_sketch():
@@ -309,5 +321,6 @@ def test_set_value_and_describe(spark):
     new = spark.createDataFrame([(0, 0, 0, 9.5)], "d0 long, d1 long, depth long, val double")
     out = dense.set_value(dense.to_dense(t), t.meta.coords, new)
     assert out.where("d0 = 0 and d1 = 0 and depth = 0").first()["val"] == 9.5
+    assert "positions: 9 items from 0 to 4" in compare.describe(t, 2, encodings=True)
     said = compare.describe(t, 2)
     assert "nnz: 9" in said and "data: [1.21, 1.22, 1.31, 1.32, ...]" in said
