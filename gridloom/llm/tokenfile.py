@@ -48,6 +48,7 @@ HEAD = 48
 END_ID = 2
 CACHE = 400_000  # pieces of a generation; a worker keeps two
 GROUP = 1 << 20  # characters that are encoded together
+ROWS = 256  # rows whose texts and ids a worker holds at once
 MARKS = string.punctuation
 LONG = 64  # pieces of more characters are not kept
 SAMPLE_DOCS = 1024  # documents that the dictionary is trained on
@@ -71,6 +72,17 @@ def splits_at_space(path: str) -> bool:
     return folds and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and r"[^\s" in pattern
 
 
+def is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100, where lower-casing is by character and nothing composes."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, the end id appended.
 
@@ -112,14 +124,13 @@ class Encoder:
         for w, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
             self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> list[str]:
+    def _learn(self, pieces: set[str], folded: bool) -> list[str]:
         """Learn the pieces that are new; returns the long ones among what was learnt.
 
         A piece of Latin letters and closing ASCII punctuation is its lower-cased letters and its
-        marks, which the tokenizer never merges with each other; each is encoded once.
+        marks, which the tokenizer never merges with each other; each is encoded once. ``folded``
+        pieces come from lower-cased Latin-1 texts.
         """
-        if len(self.cache) > CACHE:
-            self.old, self.cache = self.cache, {"": b""}
         cache, old, marked = self.cache, self.old, self.marked
         made, words, others, long = [], set(), set(), []
 
@@ -135,12 +146,12 @@ class Encoder:
                 continue
             if len(w) > LONG:
                 long.append(w)
-            if marked and w.isascii() and w.isalpha() and w.islower():
+            if folded and w.isalpha():
                 words.add(w)
                 continue
             core = w.rstrip(MARKS) if marked else ""
-            low = core.lower()
-            if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and len(low) == len(core))):
+            low = core if folded else core.lower()
+            if core.isalpha() and (folded or core.isascii() or (max(core) < "\u0250" and len(low) == len(core))):
                 marks = w[len(core) :]
                 made.append((w, low, marks))
                 if low not in cache:
@@ -168,17 +179,24 @@ class Encoder:
             return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() + self.end for t in texts]
         out: list[bytes] = []
         split: list[list[str]] = []
-        size = 0
+        plain, other, size = [], [], 0
         for i, t in enumerate(texts):
+            t = t or ""
+            folded = self.marked and "<|" not in t and is_latin(t)
+            if folded:
+                t = t.lower()  # the tokenizer lower-cases anyway, but finds its special tokens first
             split.append(t.replace("\n", " ").split(" ") if t else [])
-            size += len(t or "")
+            (plain if folded else other).append(split[-1])
+            size += len(t)
             if size >= GROUP or i == len(texts) - 1:
-                long = self._learn(set().union(*split))
+                if len(self.cache) > CACHE:
+                    self.old, self.cache = self.cache, {"": b""}
+                long = self._learn(set().union(*plain), True) + self._learn(set().union(*other), False)
                 get = self.cache.__getitem__
                 out.extend(b"".join(map(get, words)) + self.end for words in split)
                 for w in long:
                     self.cache.pop(w, None)
-                split, size = [], 0
+                split, plain, other, size = [], [], [], 0
         return out
 
 
@@ -292,10 +310,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, id_col: str = "doc_
         bounds = np.array(cuts, np.int64)
         for b in batches:
             sizes, crcs, frames = [], [], []
-            for raw in own.many(b.column(1).to_pylist()):
-                crcs.append(zlib.crc32(raw))
-                sizes.append(len(raw) // 4)
-                frames.append(zip_.compress(np.frombuffer(raw, "<u4").astype("<u2").tobytes() if width == 2 else raw))
+            for at in range(0, b.num_rows, ROWS):
+                for raw in own.many(b.column(1).slice(at, ROWS).to_pylist()):
+                    crcs.append(zlib.crc32(raw))
+                    sizes.append(len(raw) // 4)
+                    frames.append(zip_.compress(np.frombuffer(raw, "<u4").astype("<u2").tobytes() if width == 2 else raw))
             ids = b.column(0)
             shard = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(frames, pa.binary())], ["shard", "doc_id", "n_tokens", "crc", "frame"])
