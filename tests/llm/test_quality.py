@@ -88,3 +88,10 @@ def test_measures_are_those_of_the_vocabulary():
 
 def test_scripts():
     assert [quality.script_of(x) for x in ("abc é", "жук и", "λόγος", "漢字", "")] == ["Latin", "Cyrillic", "Greek", "other", "Latin"]
+
+
+def test_query_equals_a_plain_count(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = quality.query(spark, sf).collect()
+    assert {(r.doc_id, *base(r)) for r in got} == {(i, *plain(t)) for i, t in texts.items()} and len(got) == len(texts)

@@ -72,3 +72,14 @@ def test_without_labels_the_lexicons_decide(spark):
     docs = spark.createDataFrame([(1, "you pathetic idiot"), (2, "a calm day"), (3, None)], "doc_id long, text string")
     for labels in (spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")):
         assert {r.doc_id: r.predicted for r in toxicity.classify(docs, labels).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_query_covers_every_document(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    out = toxicity.query(spark, sf)
+    assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    rows = out.collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
