@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import ship
+
 MIN_WORDS = 50
 MOST_REPEATED = 50  # per cent of words in repeated windows
 WINDOW = 3
@@ -192,6 +194,7 @@ def assess(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
+    ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     return narrow.mapInArrow(run, SCHEMA)
 
@@ -206,6 +209,7 @@ def keep(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str
             kept = [judge_text(t, g, model, bands)[-1] for t, g in zip(b.column(text_at).to_pylist(), b.column(lang_at).to_pylist(), strict=True)]
             yield b.filter(pa.array(kept, pa.bool_()))
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.star import star_components
-from ..storage import cut
+from ..storage import cut, ship
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, fp long")
 
@@ -148,6 +149,7 @@ def _search(bits: int, limit: int):
 
 def _meet(signed: DataFrame, bits: int, limit: int) -> DataFrame:
     """Bring equal keys together and search each group."""
+    ship(signed.sparkSession)
     return signed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_search(bits, limit), "u long, v long, key long, fp long, rep long")
 
 

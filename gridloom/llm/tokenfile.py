@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut, fresh_path
+from ..storage import cut, fresh_path, ship
 
 MAGIC = b"GLTOKEN1"
 HEAD = 48
@@ -334,6 +334,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, id_col: str = "doc_
             kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "path", "n_docs", "n_tokens", "n_bytes"])
 
+    ship(docs.sparkSession)
     coded = docs.mapInArrow(encode, "shard int, doc_id long, n_tokens long, crc long, frame binary")
     placed = coded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens", "crc", "frame")
     return cut(placed.mapInArrow(write, MANIFEST), "manifest")
@@ -358,6 +359,7 @@ def read_tokens(manifest: DataFrame, root: str) -> DataFrame:
                 start = base + np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays([pa.array(shard.ids, pa.int64()), pa.array(start), pa.array(sizes), pa.array(crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    ship(manifest.sparkSession)
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.select("path", before.alias("base"), "shard")
     return placed.repartitionById(max(1, manifest.count()), F.col("shard")).select("path", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, ship
 
 HELD_OUT = (4, 2)  # crc32 of the id modulo the first is the second
 TRAIN_MOST = 20_000  # labelled rows that are trained on
@@ -202,6 +202,7 @@ def _feature_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
             votes = [np.array(fixed_votes(t), np.int8).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(feats, pa.binary()), pa.array(votes, pa.binary())], ["doc_id", "toxic", "features", "votes"])
 
+    ship(docs.sparkSession)
     return cut(docs.join(known, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, features binary, votes binary"), "training")
 
 
@@ -269,6 +270,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str =
                 out[i] = bias + sum(weights[k] for k in sorted(hit))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], ["doc_id", "score"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, fresh_path
+from ..storage import cut, fresh_path, ship
 
 CHUNK = 64 << 10
 ROWS_PER_FILE = 8192
@@ -81,6 +81,7 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 digests.append(base64.b32encode(sha.copy().digest()).decode())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(b.column(i) for i in range(3)), pa.array(frames, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), b.column(4)], ["record", "page_id", "url", "chunk_no", "data", "n_bytes", "digest", "last"])
 
+    ship(pages.sparkSession)
     return cut(chunks.mapInArrow(run, "record string, page_id long, url string, chunk_no int, data binary, n_bytes long, digest string, last boolean"), "chunks")
 
 
@@ -215,6 +216,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+    ship(manifest.sparkSession)
     files = max(1, manifest.count())
     return manifest.select("path").repartition(files, "path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
