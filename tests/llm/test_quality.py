@@ -95,3 +95,23 @@ def test_query_equals_a_plain_count(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = quality.query(spark, sf).collect()
     assert {(r.doc_id, *base(r)) for r in got} == {(i, *plain(t)) for i, t in texts.items()} and len(got) == len(texts)
+
+
+@pytest.mark.parametrize("lang", [None, "", "xx", "pl"])
+def test_random_latin_letters_are_rejected_whatever_the_lang(lang):
+    rng, model = random.Random(4), quality.Fertility(VOCABULARY)
+    for n in (60, 200, 1000):
+        text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(n))
+        assert not quality.judge_text(text, lang, model, quality.BANDS)[-1]
+        assert quality.judge_text(prose(rng, n), lang, model, quality.BANDS)[-1]
+
+
+def test_labelled_rows_are_told_apart_without_their_lang(spark):
+    sf, model = "/root/testdata/sf0.01", quality.Fertility(VOCABULARY)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("text", "quality").collect()
+    got = Counter()
+    for r in rows:
+        *_, failed, kept = quality.judge_text(r.text, None, model, quality.BANDS)
+        got[r.quality, kept] += not failed
+    assert got[1, False] <= 0.01 * (got[1, True] + got[1, False])
+    assert got[0, True] <= 0.05 * (got[0, True] + got[0, False]) and got[0, False] > 20
