@@ -2,9 +2,9 @@
 
 A public vocabulary tells ordinary prose from junk by how it splits it: words of a language
 it knows cost a usual number of tokens. Each whole text is measured by characters per token,
-tokens per word (fertility), the share of byte-fallback tokens and the entropy of its
-tokens, the last against what texts of as many tokens usually have. Bands per language
-(else per script) reject what lies outside.
+tokens per word (fertility), the share of byte-fallback tokens, how often a word has its most
+common token and the entropy of its tokens, the last against what texts of as many tokens
+usually have. Bands per language (else per script) reject what lies outside.
 
 Words are encoded one by one, each distinct word once per worker (bounded cache), which is
 what a vocabulary with word-start marks does to them in a text.
@@ -37,7 +37,8 @@ CACHE = 300_000
 class Band(NamedTuple):
     """Limits of a language or script; a text must keep within the hard ones, and not be below both soft ones.
 
-    Hard: characters per token, tokens per word, byte-fallback share. Soft together:
+    Hard: characters per token, tokens per word, byte-fallback share, most common token per word (of tokens
+    that are neither bytes nor a bare word start). Soft together:
     characters per token under ``soft_chars`` and entropy more than ``deficit`` bits under the curve
     a + b log2(n) + c log2(n)**2 of the number of tokens n.
     """
@@ -45,6 +46,7 @@ class Band(NamedTuple):
     least_chars: float
     most_fertility: float
     most_bytes: float
+    most_common: float
     soft_chars: float
     deficit: float
     curve: tuple[float, float, float]
@@ -53,14 +55,14 @@ class Band(NamedTuple):
 #: Bands for the 32k vocabulary, fitted to labelled rows of the sample tables and widened; the Latin one to those
 #: of all four languages, lang ignored. No rows of the other scripts are labelled: their bands are guesses.
 BANDS = {
-    "en": Band(1.5, 3.5, 0.05, 2.09, 0.45, (1.594, 0.862, -0.034)),
-    "de": Band(1.5, 3.5, 0.05, 2.13, 0.50, (2.110, 0.746, -0.030)),
-    "fr": Band(1.4, 3.5, 0.05, 1.93, 0.45, (2.269, 0.715, -0.029)),
-    "es": Band(1.3, 3.6, 0.05, 1.88, 0.50, (2.418, 0.677, -0.025)),
-    "Latin": Band(1.6, 3.6, 0.05, 2.15, 0.40, (1.526, 0.876, -0.036)),
-    "Cyrillic": Band(0.8, 8.0, 0.30, 1.20, 0.90, (2.0, 0.75, -0.030)),
-    "Greek": Band(0.5, 14.0, 0.60, 0.70, 0.90, (2.0, 0.75, -0.030)),
-    "other": Band(0.2, 1e9, 0.98, 0.30, 0.90, (2.0, 0.75, -0.030)),
+    "en": Band(1.5, 3.5, 0.05, 0.30, 2.09, 0.45, (1.594, 0.862, -0.034)),
+    "de": Band(1.5, 3.5, 0.05, 0.32, 2.13, 0.50, (2.110, 0.746, -0.030)),
+    "fr": Band(1.4, 3.5, 0.05, 0.34, 1.93, 0.45, (2.269, 0.715, -0.029)),
+    "es": Band(1.3, 3.6, 0.05, 0.36, 1.88, 0.50, (2.418, 0.677, -0.025)),
+    "Latin": Band(1.6, 3.6, 0.05, 0.36, 2.15, 0.40, (1.526, 0.876, -0.036)),
+    "Cyrillic": Band(0.8, 8.0, 0.30, 0.90, 1.20, 0.90, (2.0, 0.75, -0.030)),
+    "Greek": Band(0.5, 14.0, 0.60, 0.90, 0.70, 0.90, (2.0, 0.75, -0.030)),
+    "other": Band(0.2, 1e9, 0.98, 1e9, 0.30, 0.90, (2.0, 0.75, -0.030)),
 }
 
 
@@ -120,6 +122,7 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(size)])
+        self.is_part = self.is_byte | np.array([self.model.id_to_piece(i) == "\u2581" for i in range(size)])
         self.width = "<u2" if size <= 1 << 16 else "<u4"
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -147,18 +150,23 @@ class Fertility:
 
     def measure(self, words: list[bytes], chars: int) -> tuple[float, float, float, float]:
         """(characters per token, tokens per word, byte share, entropy in bits)."""
+        return self.measure_all(words, chars)[:4]
+
+    def measure_all(self, words: list[bytes], chars: int) -> tuple[float, float, float, float, float]:
+        """The same and the most common token per word."""
         ids = self.ids(words)
         n = len(ids)
         if not n:
-            return 0.0, 0.0, 0.0, 0.0
+            return 0.0, 0.0, 0.0, 0.0, 0.0
         kinds, count = np.unique(ids, return_counts=True)
         entropy = np.log2(n) - float((count * np.log2(count)).sum()) / n
-        return chars / n, n / len(words), float(count[self.is_byte[kinds]].sum()) / n, entropy
+        common = int(count[~self.is_part[kinds]].max(initial=0)) / len(words)
+        return chars / n, n / len(words), float(count[self.is_byte[kinds]].sum()) / n, entropy, common
 
 
-def within(band: Band, chars: float, fertility: float, share: float, entropy: float, n_tokens: float) -> bool:
+def within(band: Band, chars: float, fertility: float, share: float, entropy: float, common: float, n_tokens: float) -> bool:
     """Whether the measures lie in the band."""
-    if chars < band.least_chars or fertility > band.most_fertility or share > band.most_bytes:
+    if chars < band.least_chars or fertility > band.most_fertility or share > band.most_bytes or common > band.most_common:
         return False
     x = np.log2(max(n_tokens, 2.0))
     usual = band.curve[0] + band.curve[1] * x + band.curve[2] * x * x
@@ -176,10 +184,10 @@ def judge_text(text: str | None, lang: str | None, model: Fertility, bands: dict
     words = text.encode("utf-8", "replace").split()  # on bytes: exactly \x20 \x09-\x0D
     chars = len(text) - sum(map(text.count, SPACES))
     symbols, lines, repeated = sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated_words(words)
-    measures = model.measure(words, chars)
+    *measures, common = model.measure_all(words, chars)
     failed = len(words) < MIN_WORDS or 100 * repeated > MOST_REPEATED * len(words)
     band = bands.get(lang) if lang else None
-    kept = not failed and within(band or bands[script_of(text)], *measures, n_tokens=measures[1] * len(words))
+    kept = not failed and within(band or bands[script_of(text)], *measures, common=common, n_tokens=measures[1] * len(words))
     return (len(words), chars, symbols, lines, repeated, *measures, failed, kept)
 
 

@@ -87,3 +87,12 @@ def test_every_group_keeps_one(spark, sf):
     kept = pipeline.near_dedup(spark, docs, sf[0])
     groups = {r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(groups)
+
+
+def test_quality_stage_rejects_the_same_mark_on_every_word(spark, sf):
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randint(60, 200)) for _ in range(20)]
+    docs = [(i, t, ("en", "de", None, "xx")[i % 4], "a", len(t)) for i, t in enumerate(texts)]
+    docs += [(100 + i, " ".join(w + "###" for w in t.split()), g, "a", None) for i, t, g, _, _ in docs]
+    kept = pipeline.quality_rules(spark, spark.createDataFrame(docs, COLUMNS), sf[0]).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(20))

@@ -115,3 +115,21 @@ def test_labelled_rows_are_told_apart_without_their_lang(spark):
         got[r.quality, kept] += not failed
     assert got[1, False] <= 0.01 * (got[1, True] + got[1, False])
     assert got[0, True] <= 0.05 * (got[0, True] + got[0, False]) and got[0, False] > 20
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "fr", "es", None, "xx"])
+@pytest.mark.parametrize("mark", ["###", "#", "$", "=", "!!!", "xyz"])
+def test_the_same_mark_on_every_word_is_rejected(lang, mark):
+    rng, model = random.Random(6), quality.Fertility(VOCABULARY)
+    for n in (60, 200, 1000):
+        text = prose(rng, n)
+        assert quality.judge_text(text, lang, model, quality.BANDS)[-1]
+        assert not quality.judge_text(" ".join(w + mark for w in text.split()), lang, model, quality.BANDS)[-1]
+
+
+@pytest.mark.parametrize("letters", ["\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438\u043a\u043b\u043c\u043d\u043e\u043f\u0440\u0441\u0442", "\u03b1\u03b2\u03b3\u03b4\u03b5\u03b6\u03b7\u03b8\u03b9\u03ba\u03bb\u03bc\u03bd\u03bf\u03c0\u03c1\u03c3\u03c4"])
+def test_marked_words_of_other_alphabets_are_rejected(letters):
+    rng, model = random.Random(7), quality.Fertility(VOCABULARY)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(200)]
+    assert quality.judge_text(" ".join(words), None, model, quality.BANDS)[-1]
+    assert not quality.judge_text(" ".join(w + "###" for w in words), None, model, quality.BANDS)[-1]
