@@ -6,8 +6,8 @@ kept, read back from Parquet.
 
 Rows are told apart by a hash of all their columns where an operator's verdict is joined
 back, so null and repeated ids are handled: rows equal in every column are one document
-whose copies are added up in the mix. In near-duplicate removal, rows without an id are
-kept, as they cannot be named.
+whose copies are added up in the mix. In near-duplicate removal, rows that share an id but
+not a text are judged apart, and rows without an id are kept, as they cannot be named.
 """
 
 from __future__ import annotations
@@ -37,9 +37,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the least id stays."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates, the document with the least id stays; of rows with that id, the one of least hash."""
+    keyed = _keyed(docs.where("doc_id is not null"))
+    groups = simhash.near_duplicates(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id").distinct()
+    first = keyed.select("doc_id", KEY).join(groups, KEY).groupBy("component_id").agg(F.min(F.struct("doc_id", KEY))[KEY].alias(KEY)).select(KEY)
+    named = keyed.join(first, KEY, "left_semi").dropDuplicates([KEY])
     return named.select(docs.columns).union(docs.where("doc_id is null"))
 
 

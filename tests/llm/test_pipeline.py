@@ -96,3 +96,12 @@ def test_quality_stage_rejects_the_same_mark_on_every_word(spark, sf):
     docs += [(100 + i, " ".join(w + "###" for w in t.split()), g, "a", None) for i, t, g, _, _ in docs]
     kept = pipeline.quality_rules(spark, spark.createDataFrame(docs, COLUMNS), sf[0]).collect()
     assert sorted(r.doc_id for r in kept) == list(range(20))
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_a_repeated_id_with_other_texts_loses_no_group(spark, sf, swap):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 100) for _ in range(3))
+    docs = [(3, b, "en", "a", 1), (7, a, "en", "a", 2), (7, b, "en", "a", 3), (7, c, "en", "a", 4), (7, c, "en", "a", 4), (9, c, "en", "b", 5)]
+    table = spark.createDataFrame(docs[::-1] if swap else docs, COLUMNS).coalesce(1)
+    assert rows(pipeline.near_dedup(spark, table, sf[0])) == sorted([docs[0], docs[1], docs[3]], key=str)
