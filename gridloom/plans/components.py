@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from ..storage import cut
 from .bsp import Program, run
-from .star import star_components
+from .star import star_rounds
 
 
 @dataclass
 class Labelled:
-    """labels (node, component) with the least node id as component; sweeps, and whether they settled."""
+    """labels (node, component) with the least node id as component; sweeps or rounds made, and whether they settled.
+
+    ``propagations`` are the labels that the last sweep changed: 0 once settled; None for rounds that did not settle.
+    """
 
     labels: DataFrame
     iterations: int
     converged: bool
+    propagations: int | None
 
 
 class _MinLabel(Program):
@@ -50,12 +54,14 @@ def connected_components(edges: DataFrame, num_nodes: int, method: str = "star",
     """
     if method == "min_label":
         r = run(_MinLabel(edges, num_nodes), max_iterations)
-        return Labelled(r.state.select("node", "component"), r.iterations, bool(r.history) and not r.history[-1]["propagations"])
+        changed = (r.history[-1]["propagations"] or 0) if r.history else None
+        return Labelled(r.state.select("node", "component"), r.iterations, changed == 0, changed)
     if method != "star":
         raise ValueError(f"unknown method {method!r}")
     nodes = edges.sparkSession.range(num_nodes).select(F.col("id").alias("node"))
-    found = star_components(edges, "src", "dst", max_iterations)
-    return Labelled(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), 0, True)
+    found = star_rounds(edges, "src", "dst", max_iterations)
+    labels = nodes.join(found.labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return Labelled(labels, found.rounds, found.converged, 0 if found.converged else None)
 
 
 def num_components(labels: DataFrame) -> int:

@@ -2,11 +2,12 @@
 
 Executors and the driver share no local folders, so every intermediate table is
 written below the folder that the cluster names in ``spark.checkpoint.dir``. Only
-where that setting is absent (tests, a laptop) a temporary folder is made.
+where that setting is absent and everything runs in one process (a laptop) a temporary folder is made.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -33,10 +34,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors, as a URI or path without a trailing slash."""
+    """The folder shared by driver and executors, as a URI or path without a trailing slash.
+
+    Raises RuntimeError where the setting is absent and executors are processes of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="gridloom-")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom import cli
 from gridloom.plans import components as cc
 from gridloom.plans import pagerank as pr
+from gridloom.plans import star
 from gridloom.plans.bsp import Program, run
 from gridloom.plans.star import star_components
 from gridloom.streaming import ingest as streaming
@@ -98,8 +99,49 @@ def test_a_long_chain_and_a_large_star(spark):
 
 
 def test_sweeps_can_be_capped(spark):
-    r = cc.connected_components(frame(spark, [(i, i + 1) for i in range(20)]), 21, "min_label", max_iterations=3)
-    assert r.iterations == 3 and not r.converged
+    chain = frame(spark, [(i, i + 1) for i in range(8)])
+    r = cc.connected_components(chain, 9, "min_label", max_iterations=3)
+    assert r.iterations == 3 and not r.converged and r.propagations == 6
+    r = cc.connected_components(chain, 9, "min_label")
+    assert r.iterations == 9 and r.converged and r.propagations == 0
+    r = cc.connected_components(chain, 9, max_iterations=1)
+    assert r.iterations == 1 and not r.converged and r.propagations is None
+    r = cc.connected_components(chain, 9)
+    assert 1 < r.iterations < 8 and r.converged and r.propagations == 0
+    with pytest.raises(RuntimeError):
+        star_components(chain, "src", "dst", 1)
+
+
+def test_a_hub_is_split_over_tasks(spark):
+    """Both sides of the step's join are plain shuffles, which adaptive execution splits."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40k", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(20_000, 80_000, numPartitions=8).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).union(spark.range(1, 2000).selectExpr("id as u", "id + 100000 as v"))
+        step = star._large_star(edges)
+        assert step.count() == 61_999
+        step.collect()
+        assert "SortMergeJoin(skew=true)" in step._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_working_folder_must_be_shared(spark):
+    from types import SimpleNamespace
+
+    from gridloom.storage import shared_dir
+
+    def session(master):
+        conf = SimpleNamespace(get=lambda *_: None)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="x-" + master, getConf=lambda: conf))
+
+    assert shared_dir(session("local[3]")) == shared_dir(session("local[3]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
 
 
 def test_nulls_are_ignored(spark):
