@@ -13,16 +13,23 @@ BITS_MOST, is part of the scan and leaves, besides false hits, only documents th
 fingerprint; words are written for these alone. The exact joins broadcast the benchmark's
 side only where its counted size is below BROADCAST_ROWS and BROADCAST_BYTES.
 
+A text is cut into segments of SEGMENT words before it is cut into words, each with the first SPAN - 1 words of the next, so
+a window lies whole in the segment in which it starts and no row grows with a text: words, hashes and windows are
+those of one segment. Hits are places, one row each, whatever number of items hold the window; items are looked up once for
+each set of windows' item groups that some document has, so places are never multiplied by items.
+
 DataFrame functions only. Arrays are unfolded with the outer forms: for the inner ones the
 optimizer infers a filter on the array and copies the chain of array functions into it.
 
 Nulls: a null text has no words. Every row is a document of its own,
 repeated ids included; a null item_id counts for hits but is not listed. An empty
-benchmark leaves everything clean. Other columns are ignored.
+benchmark leaves everything clean. A text's length matters only to the number of its segments. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +37,10 @@ from ..storage import cut
 
 SPAN = 13
 K = 4
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+WORD = f"[^{BETWEEN}]+"
+SEGMENT = 4096  # words of a segment
+SHORT = 1 << 15  # bytes of a text that is one segment without a look
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_MOST = 1 << 22  # bits of the table in the scan, 512 KB
 BITS_EACH = 32
@@ -44,6 +54,18 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def segments(text: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """A text's parts, and what makes of such an array structs (own, next, last). Parts have A-Z lower-cased
+    and SEGMENT words, the last fewer; next are the first SPAN - 1 words that follow.
+
+    Runs are possessive, and a part starts with a word, so a scan never goes back over what it has read.
+    """
+    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    run = f"(?:[^{BETWEEN}]++[{BETWEEN}]*+)"
+    parts = F.when(F.octet_length(text) > SHORT, F.regexp_extract_all(low, F.lit(f"{run}{{1,{SEGMENT}}}+"), F.lit(0))).otherwise(F.array(low))
+    return parts, lambda p: F.transform(p, lambda s, i: F.struct(s.alias("own"), F.coalesce(F.regexp_extract(F.get(p, i + 1), f"^{run}{{1,{SPAN - 1}}}+", 0), F.lit("")).alias("next"), (i + 1 == F.size(p)).alias("last")))
+
+
 def _shifted(name: str, by: int, f) -> Column:
     """f of each element of an array column and the one ``by`` places on (null past the end)."""
     return F.transform(name, lambda x, i: f(x, F.get(F.col(name), i + by)))
@@ -99,9 +121,23 @@ def _small(df: DataFrame, n_bytes: Column) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(base, spans): base has a row (rid, doc_id, n_words) per document, spans a row (rid, start, n, item_id) per window hit."""
-    spark = docs.sparkSession
+def _cut_up(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (rid, doc_id, seg, last, words, own): a segment's words with those that follow; own of them are its own."""
+    parts, linked = segments(F.col("text"))
+    df = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    df = df.withColumn("p", parts).select("rid", "doc_id", "p").withColumn("p", linked(F.col("p")))
+    df = df.select("rid", "doc_id", F.posexplode_outer("p").alias("seg", "x"))
+    last = F.coalesce("x.last", F.lit(True))
+    df = df.select("rid", "doc_id", F.coalesce("seg", F.lit(0)).alias("seg"), last.alias("last"), words(F.concat("x.own", "x.next")).alias("words"))
+    return df.withColumn("own", F.when(F.col("last"), F.size("words")).otherwise(F.lit(SEGMENT)))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, spans, groups).
+
+    base: rid, doc_id, n_words of every document. spans: rid, seg, own, start, n, gid of every place of a document at which
+    a window starts; start counts within the segment, gid names the items that hold the window. groups: gid, item_id.
+    """
     items = cut(benchmark.select(F.col(item_col).cast("string").alias("item_id"), words(F.col(item_text).cast("string")).alias("words")).where(F.size("words") > 0), "items")
     short = sorted(r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
     long_items = items.where(F.size("words") >= SPAN)
@@ -114,44 +150,71 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
         windows = windows.union(own.select("item_id", F.array_join("words", " ").alias("w")))
     grams, windows = cut(grams.distinct(), "grams"), cut(windows.distinct(), "windows")
     table, bits = _bit_table(grams, grams.count())
+    # A set of items is told by its size and two sums of hashes, so it is never collected.
+    total = lambda *x: F.coalesce(F.sum(F.xxhash64(*x).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    listed = F.col("item_id").isNotNull()
+    kinds = cut(windows.groupBy("w").agg(F.concat_ws(":", F.count("item_id").cast("string"), *(total(F.when(listed, F.xxhash64("item_id", F.lit(salt)))) for salt in (0, 1))).alias("gid")), "kinds")
+    groups = cut(windows.where(listed).join(kinds, "w").select("gid", "item_id").distinct(), "groups")
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col).cast("string")).alias("words"))
-    base = with_prints(base)
+    base = with_prints(_cut_up(docs, id_col, text_col))
     if short:
         base = base.withColumn("prints", F.concat("prints", *(F.array_distinct(_slices(n)) for n in short)))
     near = F.col("near")
-    base = base.withColumn("near", _may_hold("prints", table, bits)).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").cast("long").alias("n_words"), F.when(near, F.col("words")).alias("words"), F.when(near, F.col("prints")).alias("prints"))
+    base = base.withColumn("near", _may_hold("prints", table, bits)).select("rid", "doc_id", "seg", "last", "own", F.when(near, F.col("words")).alias("words"), F.when(near, F.col("prints")).alias("prints"))
     base = cut(base, "screened")
 
-    hits = cut(base.where("prints is not null").select("rid", F.explode("prints").alias("fp")).join(_small(grams, F.lit(8)), "fp", "left_semi").distinct(), "hits")
-    found = base.where("words is not null").select("rid", "words").join(hits.select("rid").distinct(), "rid", "left_semi")
-    seeds = [(K, SPAN, with_grams(found).select("rid", F.posexplode_outer("gram").alias("pos", "fp")))] + [(n, n, found.select("rid", F.posexplode_outer(_slices(n)).alias("pos", "fp"))) for n in short]
+    at = ["rid", "seg"]
+    hits = cut(base.where("prints is not null").select(*at, F.explode("prints").alias("fp")).join(_small(grams, F.lit(8)), "fp", "left_semi").distinct(), "hits")
+    found = base.where("words is not null").select(*at, "own", "words").join(hits.select(*at).distinct(), at, "left_semi")
+    seeds = [(K, SPAN, with_grams(found).select(*at, F.posexplode_outer("gram").alias("pos", "fp")))] + [(n, n, found.select(*at, F.posexplode_outer(_slices(n)).alias("pos", "fp"))) for n in short]
     starts = None
     for k, n, places in seeds:
-        at = places.join(hits, ["rid", "fp"], "left_semi")
-        one = at.select("rid", F.lit(n).alias("n"), F.explode(F.sequence(F.greatest(F.col("pos") - (n - k), F.lit(0)), F.col("pos"))).alias("start"))
+        met = places.join(hits, [*at, "fp"], "left_semi")
+        one = met.select(*at, F.lit(n).alias("n"), F.explode(F.sequence(F.greatest(F.col("pos") - (n - k), F.lit(0)), F.col("pos"))).alias("start"))
         starts = one if starts is None else starts.union(one)
-    starts = starts.groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("starts"))
-    whole = F.filter("starts", lambda s: s["start"] + s["n"] <= F.size("words"))
-    tried = found.join(starts, "rid").select("rid", F.explode(F.transform(whole, lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.array_join(F.slice(F.col("words"), s["start"] + 1, s["n"]), " ").alias("w")))).alias("x")).select("rid", "x.*")
-    spans = cut(tried.join(_small(windows, F.length("w") + 64), "w").select("rid", "start", "n", "item_id"), "spans")
-    return base.select("rid", "doc_id", "n_words"), spans
+    starts = starts.groupBy(*at).agg(F.collect_set(F.struct("start", "n")).alias("starts"))  # of one segment
+    whole = F.filter("starts", lambda s: (s["start"] < F.col("own")) & (s["start"] + s["n"] <= F.size("words")))
+    tried = found.join(starts, at).select(*at, "own", F.explode(F.transform(whole, lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.array_join(F.slice(F.col("words"), s["start"] + 1, s["n"]), " ").alias("w")))).alias("x")).select(*at, "own", "x.*")
+    spans = cut(tried.join(_small(kinds, F.length("w") + 128), "w").select(*at, "own", "start", "n", "gid"), "spans")
+    lengths = base.where("last").select("rid", "doc_id", (F.col("seg").cast("long") * SEGMENT + F.col("own")).alias("n_words"))
+    return lengths, spans, groups
+
+
+def judge(docs: DataFrame, benchmark: DataFrame, **cols: str) -> tuple[DataFrame, DataFrame]:
+    """(found, sets): a row doc_id, n_words, n_hit, n_spans, sid, contaminated per document; sid, items (sorted) per set of items.
+
+    n_spans counts the windows of SPAN words; sid is null where nothing is hit.
+    """
+    base, spans, groups = find_hits(docs, benchmark, **cols)
+    end = F.col("start") + F.col("n")
+    range_ = lambda seg, lo, hi, full: F.struct(seg.alias("seg"), lo.alias("lo"), hi.alias("hi"), full.cast("long").alias("full"))
+    both = F.array(range_(F.col("seg"), F.col("start"), F.least(end, F.col("own")), F.col("n") == SPAN), range_(F.col("seg") + 1, F.lit(0), end - F.col("own"), F.lit(False)))
+    parts = spans.select("rid", F.explode(F.filter(both, lambda r: r["lo"] < r["hi"])).alias("r")).select("rid", "r.*")
+    held = parts.groupBy("rid", "seg").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("lo"), F.col("hi") - 1))))).alias("n"), F.sum("full").alias("full"))
+    covered = held.groupBy("rid").agg(F.sum("n").alias("n_hit"), F.sum("full").alias("n_spans"))
+
+    gids = spans.select("rid", "gid").distinct().groupBy("rid").agg(F.array_sort(F.collect_list("gid")).alias("gids")).withColumn("sid", F.sha2(F.array_join("gids", ","), 256))
+    gids = cut(gids, "gids")
+    sets = gids.dropDuplicates(["sid"]).select("sid", F.explode("gids").alias("gid")).join(groups, "gid").select("sid", "item_id").distinct()
+    sets = sets.groupBy("sid").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    out = base.join(covered.join(gids.select("rid", "sid"), "rid"), "rid", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "sid", ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated")), sets
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **cols: str) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items (sorted), contaminated."""
-    base, spans = find_hits(docs, benchmark, **cols)
-    covered = spans.select("rid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
-    items = spans.select("rid", "item_id").distinct().groupBy("rid").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    out = base.join(covered.join(items, "rid"), "rid", "left")
-    n_hit, listed = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"))
+    """One row per document: doc_id, n_words, n_hit, n_spans, n_items, items (sorted), contaminated."""
+    found, sets = judge(docs, benchmark, **cols)
+    listed = F.coalesce("items", F.array().cast("array<string>"))
+    return found.join(sets, "sid", "left").select("doc_id", "n_words", "n_hit", "n_spans", F.size(listed).cast("long").alias("n_items"), listed.alias("items"), "contaminated")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: hit words and items of every document."""
-    out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    found, sets = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    told = sets.select("sid", F.size("items").cast("long").alias("k"), F.sha2(F.array_join("items", ","), 256).alias("digest"))
+    none = F.sha2(F.lit(""), 256)
+    return found.join(told, "sid", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", F.coalesce("k", F.lit(0)).alias("n_items"), F.coalesce("digest", none).alias("items_sha256"), "contaminated")
 
 
 ORACLE = f"""

@@ -4,21 +4,24 @@ Each source gets a target number of words. A document's expected number of copie
 source's target over its source's size. Along each source's documents the expected copies
 are summed up, one random offset is added, and a document is emitted once for each
 integer that its step of the sum crosses: at most one copy off its expectation. The offset
-is drawn DRAWS times from the seed and the draw whose words come nearest the target is
-the one used; what a draw takes follows from the counts alone.
+comes from the seed and the source's place; nothing is tried out.
 
 Documents are laid out by size, largest first, so that what a document gets too much its
 neighbour of about the same size gets too little, and a source's words miss its target by
 about one large document at most. A prefix sum over a source would put a hot source in one
 task; as the expectation is the same in all of a source, the sum is a rank. Ranks
-are built from counts: documents per (source, size) are counted first and only these counts are
-summed along the source; within a cell of n documents, these are dealt to lanes of LANE rows or
-sqrt(n), whichever is more, the lanes' counts are summed, and only then are rows numbered,
-within a lane, so no window holds more rows than that.
+are built from counts: documents per (source, size) are counted first and only these counts (one a distinct
+size) are summed along the source. Within a cell of n documents, rows of one id count as units of up to UNIT rows; units
+are dealt by a hash to lanes of about LANE rows or sqrt(n), whichever is more, the lanes' counts are summed, and only then
+are units numbered, within a lane. No id, null or repeated or in even steps, makes a lane longer than its share.
+
+Sources are numbered by a range-partitioned sort, and the level at which targets stop is found by a few
+aggregations over the table of sources, so there may be as many sources as documents.
 
 DataFrame functions only. Nulls: a null text has size 0; a null source is a source of its
-own and comes last; a null doc_id comes first within its cell. Repeated rows are documents
-of their own. A source of size 0 has target 0, its documents expect no copy.
+own and comes last; a null doc_id comes first within its lane. Repeated rows are documents
+of their own. A source of size 0 has target 0, its documents expect no copy. Ids may be of any type that sorts. An empty
+table has an empty mix. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.access import with_ordinal
 from ..storage import cut
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times a source's size that its target may be
-DRAWS = 64  # random offsets of which each source uses the best
-LANE = 1000  # rows that are numbered in one group at least
+LANE = 1000  # rows that are numbered in one group, about, at least
+UNIT = 1000  # rows of one id that are numbered as one
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20_011
 
@@ -42,66 +46,66 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Per source: source, place, weight, source_size, target, from rows (source, n, words).
+    """Per source: source, place, weight, source_size, target, from rows (source, words).
 
     Sources by code point, null last, take the weights in turn and share all words. A
-    target stops at ``most`` times its size and the excess is shared anew: with sources
-    ordered by cap over weight, those before the first k that the common level
-    (rest of the words over rest of the weights) does not lift over its cap are capped.
-    One row per source; windows over all of them hold a row per source and nothing else.
+    target stops at ``most`` times its size and the excess is shared anew: the common level (words
+    per weight) is the total over all weights at first, and then what stopped sources leave of the total over the
+    weights of the others, until no further source stops. Each step is one aggregation.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("long")
-    placed = sizes.withColumn("place", F.row_number().over(order).cast("long")).withColumn("weight", weight).withColumn("cap", most * F.col("words"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    level = placed.withColumn("total", F.sum("words").over(whole)).withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
-    free = level.withColumn("first", F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).withColumn("common", F.min_by("first", F.when(F.col("first").isNotNull(), F.struct(F.col("cap") / F.col("weight"), F.col("place")))).over(whole))
-    return free.select("source", "place", "weight", F.col("words").alias("source_size"), F.least(F.coalesce(F.col("common") * F.col("weight"), F.col("cap").cast("double")), F.col("cap").cast("double")).alias("target"))
+    placed = with_ordinal(sizes.select("source", "words", F.col("source").isNull().alias("none")), ["none", "source"], "place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    placed = cut(placed.select("source", (F.col("place") + 1).alias("place"), weight.alias("weight"), "words", (most * F.col("words")).alias("cap")), "sources")
+    total, rest = placed.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(1))).first()
+    level, stopped = total / rest, 0
+    while True:
+        over = F.lit(level) * F.col("weight") > F.col("cap")
+        n, held, free = placed.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0)), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == stopped or not free:
+            break
+        level, stopped = (total - held) / free, n
+    return placed.select("source", "place", "weight", F.col("words").alias("source_size"), F.least(F.lit(level) * F.col("weight"), F.col("cap").cast("double")).alias("target"))
 
 
-def offset(place: Column, draw: Column, seed: int) -> Column:
-    """A random offset in [0, 1) by source and draw: a step of a linear congruential generator."""
-    return ((F.lit(seed) + place * 40_503 + draw * 30_011) * 69_069 + 12_345) % 65_536 / F.lit(65_536.0)
+def _draw(of: Column) -> Column:
+    """A random whole number below 2**32 by a text."""
+    return F.conv(F.substring(F.md5(of.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def offsets(cells: DataFrame, seed: int, draws: int = DRAWS) -> DataFrame:
-    """Per source (place), the offset u of the draw whose words are nearest the target."""
-    drawn = cells.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("u", offset(F.col("place"), F.col("draw").cast("long"), seed))
-    copies = F.floor(F.col("rate") * (F.col("before") + F.col("n")) + F.col("u")) - F.floor(F.col("rate") * F.col("before") + F.col("u"))
-    taken = drawn.groupBy("place", "draw", "u", "target").agg(F.sum(copies * F.col("size")).alias("taken"))
-    return taken.groupBy("place").agg(F.min_by("u", F.struct(F.abs(F.col("taken") - F.col("target")), F.col("draw"))).alias("u"))
+def offset(place: Column, seed: int) -> Column:
+    """The random offset of a source, in [0, 1)."""
+    return _draw(F.concat(F.lit(f"{seed}/"), place.cast("string"))) / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, lane: int = LANE) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, lane: int = LANE, unit: int = UNIT) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (copies times size)."""
-    sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size")), "sizes")
-    cells = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
-    plan = targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words")), weights, most)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
+    units = cut(sized.groupBy("source", "size", "doc_id").agg(F.count("*").alias("k")), "units")
+    counts = units.groupBy("source", "size").agg(F.sum("k").alias("n"))
+    plan = targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words")), weights, most)
     down = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).withColumn("lanes", F.ceil(F.col("n") / F.greatest(F.lit(float(lane)), F.sqrt("n")))).alias("c")
+    cells = counts.withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).withColumn("lanes", F.ceil(F.col("n") / F.greatest(F.lit(float(lane)), F.sqrt("n")))).alias("c")
     cells = cells.join(plan.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).select("c.*", "place", "source_size", "target")
-    cells = cut(cells.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "cells")
-    cells = cells.join(offsets(cells, seed), "place")
-
-    key = F.coalesce(F.col("s.doc_id"), F.lit(-1)) % F.col("c.lanes")
-    rows = sized.alias("s").join(cells.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.size") == F.col("c.size")))
-    rows = cut(rows.select("s.*", "before", "lanes", "place", "source_size", "target", "rate", "u", F.pmod(key, F.col("c.lanes")).alias("lane")), "laned")
-    many = rows.where("lanes > 1").groupBy("place", "size", "lane").agg(F.count("*").alias("k"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    cells = cut(cells.withColumn("rate", rate).withColumn("u", offset(F.col("place"), seed)), "cells")
+
+    rows = units.alias("s").join(cells.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.size") == F.col("c.size"))).select("s.*", "before", "lanes", "place", "source_size", "target", "rate", "u")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("k") - 1, F.lit(unit))))).withColumn("k", F.least(F.lit(unit), F.col("k") - F.col("part") * unit))
+    hashed = _draw(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("part").cast("string")))
+    rows = rows.withColumn("lane", F.when(F.col("lanes") > 1, hashed % F.col("lanes")).otherwise(F.lit(0)))
+    many = rows.where("lanes > 1").groupBy("place", "size", "lane").agg(F.sum("k").alias("m"))
     along = Window.partitionBy("place", "size").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    lanes = many.select("place", "size", "lane", F.coalesce(F.sum("k").over(along), F.lit(0)).alias("ahead"))
-    at = rows.join(lanes, ["place", "size", "lane"], "left")
-    within = Window.partitionBy("place", "size", "lane").orderBy(F.col("doc_id").asc_nulls_first())
-    rank = F.col("before") + F.coalesce("ahead", F.lit(0)) + F.row_number().over(within)
-    stepped = at.withColumn("rank", rank)
+    lanes = many.select("place", "size", "lane", F.coalesce(F.sum("m").over(along), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("place", "size", "lane").orderBy(F.col("doc_id").asc_nulls_first(), "part").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.join(lanes, ["place", "size", "lane"], "left").withColumn("first", F.col("before") + F.coalesce("ahead", F.lit(0)) + F.coalesce(F.sum("k").over(within), F.lit(0)))
+    each = ranked.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k").cast("int")))).withColumn("rank", F.col("first") + F.col("i"))
     copies = F.floor(F.col("rate") * F.col("rank") + F.col("u")) - F.floor(F.col("rate") * (F.col("rank") - 1) + F.col("u"))
-    return stepped.withColumn("copies", F.least(copies, F.lit(most)).cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return each.withColumn("copies", F.least(copies, F.lit(most)).cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: what the mix takes of every document."""
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 ORACLE = f"""
@@ -118,27 +122,20 @@ cm as (
   select level as common from lv where level * weight <= cap order by cap / weight, place limit 1),
 plan as (
   select source, place, words as source_size, least(coalesce((select common from cm) * weight, cap::double), cap::double) as target from lv),
-ranked as (
-  select s.doc_id, s.source, s.size, count(*) over (partition by s.source, s.size) as n, row_number() over (partition by s.source order by s.size desc) as any_rank from sized s),
+parts as (
+  select s.doc_id, s.source, s.size, count(*) over (partition by s.source, s.size) as n,
+    (row_number() over (partition by s.source, s.size, s.doc_id) - 1) // {UNIT} as part from sized s),
 lanes as (
-  select *, ((coalesce(doc_id, -1) % k) + k) % k as lane from (select *, ceil(n / greatest({LANE}::double, sqrt(n)))::bigint as k from ranked)),
+  select *, case when k > 1 then ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || part), 1, 8))::bigint % k else 0 end as lane
+  from (select *, ceil(n / greatest({LANE}::double, sqrt(n)))::bigint as k from parts)),
 numbered as (
   select l.doc_id, l.size, p.place, p.source_size, p.target,
-    row_number() over (partition by p.place order by l.size desc, l.lane, l.doc_id nulls first) as rk
+    row_number() over (partition by p.place order by l.size desc, l.lane, l.doc_id nulls first, l.part) as rk
   from lanes l join plan p on l.source is not distinct from p.source),
 stepped as (
-  select *, case when source_size > 0 then target / source_size else 0.0::double end as rate from numbered),
-counted as (
-  select place, size, target, rate, count(*) as n from stepped group by place, size, target, rate),
-cells as (
-  select *, sum(n) over (partition by place order by size desc) - n as before from counted),
-drawn as (
-  select *, (({SEED} + place * 40503 + draw * 30011) * 69069 + 12345) % 65536 / 65536.0::double as u from cells, range({DRAWS}) as r(draw)),
-taken as (
-  select place, draw, u, target, sum((floor(rate * (before + n)::double + u) - floor(rate * before::double + u)) * size) as got from drawn group by place, draw, u, target),
-best as (
-  select place, arg_min(u, [abs(got - target), draw]) as u from taken group by place)
+  select *, case when source_size > 0 then target / source_size else 0.0::double end as rate,
+    ('0x' || substr(md5('{SEED}/' || place), 1, 8))::bigint / 4294967296.0::double as u from numbered)
 select doc_id, size, source_size, target,
   (least(floor(rate * rk + u) - floor(rate * (rk - 1) + u), {MOST}) * size)::bigint as taken
-from stepped join best using (place)
+from stepped
 """

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.star import star_components
 from ..storage import cut, ship
@@ -61,17 +62,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row (doc_id, fp) per document; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row (doc_id, fp) per document, then more_0, more_1, ... from other columns; fp is the fingerprint as a signed long."""
+    names = ["doc_id", "fp", *(f"more_{i}" for i in range(len(more)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names)
 
     ship(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for n, c in zip(names[2:], more, strict=True)))
+    fields = {f.name: f for f in narrow.schema.fields}
+    schema = StructType([fields["doc_id"], StructField("fp", LongType()), *(fields[n] for n in names[2:])])
+    return narrow.mapInArrow(run, schema)
 
 
 def _reach(fp: np.ndarray, rep: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
@@ -179,9 +183,16 @@ def links(classes: DataFrame, bits: int = MAX_BITS, limit: int = GROUP) -> DataF
     return out
 
 
+def grouped(prints: DataFrame, bits: int = MAX_BITS, limit: int = GROUP) -> DataFrame:
+    """Every distinct ``fp`` of a table with its group: the least fingerprint reachable, as a signed long."""
+    classes = cut(prints.select("fp").distinct(), "classes")
+    component = star_components(links(classes.select("fp", F.col("fp").alias("rep")), bits, limit))
+    return classes.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = MAX_BITS, limit: int = GROUP) -> DataFrame:
     """One row per document: doc_id, fp (long), component_id (least doc_id reachable)."""
-    fps = cut(fingerprints(docs, id_col, text_col, shingle), "fps")
+    fps = cut(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle), "fps")
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     component = star_components(links(classes.where("rep is not null"), bits, limit))
     named = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))

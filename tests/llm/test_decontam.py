@@ -91,3 +91,42 @@ def test_no_python_in_the_plan(spark, edge_docs):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = decontam.decontaminate(edge_docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_segments_change_nothing(spark, monkeypatch, seed):
+    """Segments of 16 words: passages lie across one border, across several, and at the ends of texts."""
+    monkeypatch.setattr(decontam, "SEGMENT", 16)
+    monkeypatch.setattr(decontam, "SHORT", 40)
+    rng = random.Random(seed)
+    items = [(i, prose(rng, rng.randint(14, 60))) for i in range(6)] + [(7, "a b"), (8, "q r s t u"), (9, "a b")]
+    docs = []
+    for d in range(60):
+        words_ = prose(rng, rng.randint(0, 50)).split()
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items)[1].split()
+            a = rng.randrange(len(w))
+            k = rng.randrange(len(words_) + 1)
+            words_ = words_[:k] + w[a:] + words_[k:]
+        docs.append((d, rng.choice((" ", "... ", "\n\n")).join(words_) + rng.choice(("", " ", "?!"))))
+    docs += [(100, " " * 200), (101, items[0][1] * 3), (102, None), (103, "-" * 100 + items[1][1]), (104, "x" * 300)]
+    check(spark, docs, items)
+
+
+def test_a_long_text_that_one_item_covers(spark):
+    rng = random.Random(7)
+    item = prose(rng, 60)
+    text = " ".join([item] * 400)
+    got = decontam.decontaminate(spark.createDataFrame([(1, text), (2, "\n" * 300_000 + item + " " * 300_000)], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_spans, r["items"]) for r in got.collect()) == [(1, 24_000, 24_000, 24_000 - 12 - 399 * 12, ["5"]), (2, 60, 60, 48, ["5"])]
+
+
+def test_many_items_and_documents_of_one_passage_are_not_multiplied(spark):
+    rng = random.Random(8)
+    shared = prose(rng, 15)
+    items = [(i, f"{shared} {prose(rng, 14)}") for i in range(60)]
+    docs = [(i, f"before{i} {shared} after{i}") for i in range(50)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    check(spark, docs, items)
+    _, spans, groups = decontam.find_hits(df, bench)
+    assert spans.count() == 50 * 3 and groups.groupBy("gid").count().where("count = 60").count() == 1

@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from gridloom.llm import mixture
 
 
@@ -66,6 +68,30 @@ def test_a_hot_cell_is_dealt_to_lanes(spark):
     check(rows, docs)
 
 
+def test_repeated_null_and_evenly_stepped_ids_are_dealt_to_lanes(spark):
+    docs = [(None, "a b", "hot")] * 700 + [(7, "a b", "hot")] * 500 + [(40 * i, "a b", "hot") for i in range(800)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    check(mixture.mix(df, lane=100, unit=50).collect(), docs)
+    cells = df.groupBy("doc_id").agg(F.count("*").alias("k"))
+    units = cells.withColumn("part", F.explode(F.sequence(F.lit(0), ((F.col("k") - 1) / 50).cast("int"))))
+    text = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("part").cast("string"))
+    lanes = units.groupBy((mixture._draw(text) % 20).alias("lane")).agg(F.sum(F.least(F.lit(50), F.col("k") - F.col("part") * 50)).alias("m")).collect()
+    assert len(lanes) == 20 and max(r.m for r in lanes) < 300
+
+
+def test_one_offset_and_a_plain_prefix_sum(spark):
+    """Copies are the integers that a prefix sum of expected copies crosses, started at the source's one offset."""
+    import hashlib
+
+    docs = made(random.Random(6), 150, ["a", "b"])
+    rows = mixture.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    for place, source in enumerate(("a", "b"), 1):
+        own = sorted((r for r in rows if r.source == source), key=lambda r: (-r.size, r.doc_id))
+        u = int(hashlib.md5(f"{mixture.SEED}/{place}".encode()).hexdigest()[:8], 16) / 2**32
+        rate = own[0].target / own[0].source_size
+        assert [r.copies for r in own] == [math.floor(rate * (i + 1) + u) - math.floor(rate * i + u) for i in range(len(own))]
+
+
 def test_reruns_agree(spark):
     docs = made(random.Random(5), 200, ["a", "b", "c"])
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
