@@ -1,7 +1,7 @@
 """URL filtering: rules by host and path, else logistic regression on hashed character n-grams.
 
 The model is trained when the operator is built, from a small labelled URL table (at most
-TRAIN_MOST rows, the default one is generated from the word lists below), by gradient descent
+TRAIN_MOST rows; the default one is ``urls.txt``, written by hand), by gradient descent
 on the driver over the table's hashed trigrams of host and path. Its weights are an array literal in the
 plan, so scoring is one projection: no shuffle, no join, no Python on executors.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,21 +25,13 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 RULES_MOST = 10_000
 TRAIN_MOST = 10_000
 BUCKETS = 4096
-#: Words of hosts for the default labelled table.
-BAD = ("cheap", "pills", "casino", "spam", "farm", "poker", "payday", "loan", "viagra", "replica", "jackpot", "keygen", "torrent", "xxx", "adult", "bonus", "click", "pharma", "bet", "lottery")
-GOOD = ("news", "garden", "library", "museum", "weather", "school", "recipes", "there", "thread", "other", "nation", "station", "thing", "heron", "north", "letter", "thin", "reading", "theory", "ration", "author", "tide", "health", "bread", "winter")
+TABLE = Path(__file__).with_name("urls.txt")
 
 
 def default_table() -> list[tuple[str, int]]:
-    """The small labelled table: urls of two-word hosts, 1 for unwanted ones."""
-    out = []
-    for label, names, join in ((1, BAD, "-"), (0, GOOD, "")):
-        for i, a in enumerate(names):
-            for j in range(6):
-                b = names[(i + 2 * j + 1) % len(names)]
-                host = ("", "www.", "blog.", "m.")[(i + j) % 4] + f"{a}{join}{b}.example." + ("com", "net", "org")[j % 3]
-                out.append((f"https://{host}/" + ("en", "fr", "de", "es")[(i + j) % 4] + f"/{(37 * i + 11 * j) % 1000}", label))
-    return out
+    """The small labelled table beside this module: urls of varied hosts, 1 for unwanted ones."""
+    rows = [x.split(" ", 1) for x in TABLE.read_text("utf-8").splitlines() if x and not x.startswith("#")]
+    return [(url, int(label)) for label, url in rows]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -60,8 +53,11 @@ def grams(host: str, path: str) -> Counter:
 
 
 @lru_cache(maxsize=8)
-def train(table: tuple[tuple[str, int], ...], rounds: int = 60, rate: float = 2.0, decay: float = 1e-4) -> tuple[float, tuple[float, ...]]:
-    """(bias, weights) of a logistic regression with counts over the root of their number as features."""
+def train(table: tuple[tuple[str, int], ...], rounds: int = 200, rate: float = 1.0, decay: float = 3e-3) -> tuple[float, tuple[float, ...]]:
+    """(bias, weights) of a logistic regression with counts over the root of their number as features.
+
+    Rounds, rate and decay were chosen by cross-validation on the default table, with no word of a host in two folds.
+    """
     if len(table) > TRAIN_MOST:
         raise ValueError(f"the labelled table has over {TRAIN_MOST} rows")
     rows = []
