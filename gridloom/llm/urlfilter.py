@@ -24,7 +24,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 RULES_MOST = 10_000
 TRAIN_MOST = 10_000
-BUCKETS = 4096
+BUCKETS = 8192
 TABLE = Path(__file__).with_name("urls.txt")
 
 
