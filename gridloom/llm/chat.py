@@ -1,7 +1,7 @@
 """Chat formatting: conversations to one training text each, with a loss mask.
 
 A conversation's turns are collected as structs and sorted, adjacent turns of one role are
-merged into a block with an array aggregation, and blocks are concatenated:
+merged into a block (the places where the role changes, then the turns up to the next of them), and blocks are concatenated:
 
     <|im_start|>role<|im_sep|>text<|im_cont|>next text of the same role<|im_end|>
 
@@ -10,9 +10,9 @@ no control string of this template or of others (``</s>``, ``[INST]``) survives
 and dropping that backslash restores them. The loss mask covers assistant texts, not the marks.
 
 Spark expressions only. Turns sort by (turn, role, text), null turns first; null roles and texts are
-empty; a null conv_id is a conversation of its own; repeated rows are turns of their
-own. A conversation is one output value and so is gathered in one row, whatever its length;
-rows are only spread over conversations.
+empty; rows of a null conv_id belong to no common conversation: each is one of its own; repeated rows are turns of their
+own. A conversation is one output value and so is gathered in one row, whatever its length, in time in proportion to it;
+rows are only spread over conversations. Other columns are ignored; an empty table has no conversations.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import with_prefix
+
 START, SEP, CONT, END = "<|im_start|>", "<|im_sep|>", "<|im_cont|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 
@@ -34,16 +36,13 @@ def unescape(s: Column) -> Column:
     return F.regexp_replace(s, r"([<\[\\])\\", "$1")
 
 
-def _merge(turns: str) -> Column:
-    """Blocks (role, texts) of adjacent turns of one role, from sorted turns."""
-
-    def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        fresh = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        return F.when((F.size(acc) > 0) & (last["role"] == t["role"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
-
-    return F.aggregate(turns, F.array().cast("array<struct<role:string,texts:array<string>>>"), step)
+def _merge(df: DataFrame) -> DataFrame:
+    """``blocks`` (role, texts) of adjacent turns of one role, from sorted ``turns``."""
+    turn = lambda i: F.get(F.col("turns"), i)
+    new = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (turn(i)["role"] != turn(i - 1)["role"]))
+    df = df.withColumn("new", new)
+    run = lambda i, k: F.slice(F.col("turns"), i + 1, F.coalesce(F.get(F.col("new"), k + 1), F.size("turns")) - i)
+    return df.withColumn("blocks", F.transform("new", lambda i, k: F.struct(turn(i)["role"].alias("role"), F.transform(run(i, k), lambda t: t["text"]).alias("texts")))).drop("turns", "new")
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -51,7 +50,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     text = lambda c: escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("raw_role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("raw"), text(role_col).alias("role"), text(text_col).alias("text"))
     sorted_ = F.array_sort(F.collect_list(F.struct("turn", "raw_role", "raw", "role", "text")))
-    blocks = rows.groupBy("conv_id").agg(sorted_.alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")).select("conv_id", _merge("turns").alias("blocks"))
+    rows = rows.withColumn("lone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    turns_ = rows.groupBy("conv_id", "lone").agg(sorted_.alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    blocks = _merge(turns_)
 
     def part(s: Column, loss: Column) -> Column:
         return F.struct(s.alias("s"), loss.alias("loss"))
@@ -63,13 +64,11 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     parts = blocks.select("conv_id", F.flatten(F.transform("blocks", laid)).alias("parts"))
 
-    def walk(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.length(p["s"])
-        span = F.struct(acc["at"].alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(p["loss"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return parts.select("conv_id", F.array_join(F.transform("parts", lambda p: p["s"]), "").alias("formatted"), F.aggregate("parts", zero, walk)["out"].alias("loss_spans"))
+    parts = with_prefix(parts.withColumn("n", F.transform("parts", lambda p: F.length(p["s"]).cast("long"))), "n", "at")
+    lost = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.get(F.col("parts"), i)["loss"])
+    start = lambda i: F.get(F.col("at"), i).cast("int")
+    spans = F.transform(lost, lambda i: F.struct(start(i).alias("start"), (start(i) + F.get(F.col("n"), i).cast("int")).alias("end")))
+    return parts.select("conv_id", F.array_join(F.transform("parts", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse(formatted: str) -> Column:
@@ -103,15 +102,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 with t as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, case when conv_id is null then row_number() over () end as lone from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]', null union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]', null),
 l as (
   select *, lag(role) over w as before, row_number() over w as i,
     length(text) + length(regexp_replace(text, '[^<\[\\]', '', 'g')) as n, length(role) + length(regexp_replace(role, '[^<\[\\]', '', 'g')) as r
-  from t window w as (partition by conv_id order by turn nulls first, role, text))
+  from t window w as (partition by conv_id, lone order by turn nulls first, role, text))
 select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = '{LOSS_ROLE}'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by i) filter (role = '{LOSS_ROLE}'), '')) as loss_sha256,
   sum(n + case when before is not distinct from role then {len(CONT)} else r + {len(START) + len(SEP) + len(END)} end)::bigint as formatted_chars
-from l group by conv_id
+from l group by conv_id, lone
 """

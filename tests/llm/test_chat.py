@@ -39,10 +39,16 @@ def test_adjacent_turns_of_a_role_share_a_block(spark):
 
 
 def test_nulls_ties_repeated_and_unordered_rows(spark):
-    rows = [row(1, 1, "b", "y"), row(1, 1, "a", "z"), row(1, None, None, None), row(1, 1, "a", "x"), row(1, 1, "a", "x"), row(None, 0, "assistant", "q"), row(None, 1, "odd\nrole<", None)]
+    rows = [row(1, 1, "b", "y"), row(1, 1, "a", "z"), row(1, None, None, None), row(1, 1, "a", "x"), row(1, 1, "a", "x"), row(2, 0, "assistant", "q"), row(2, 1, "odd\nrole<", None)]
     got = read_back(spark, rows)
     assert [(t.role, t.text) for t in got[1].turns] == [("", ""), ("a", "x"), ("a", "x"), ("a", "z"), ("b", "y")]
-    assert [(t.role, t.text) for t in got[None].turns] == [("assistant", "q"), ("odd\nrole<", "")] and got[None].loss == "q"
+    assert [(t.role, t.text) for t in got[2].turns] == [("assistant", "q"), ("odd\nrole<", "")] and got[2].loss == "q"
+
+
+def test_rows_of_no_conversation_stand_alone(spark):
+    turns = spark.createDataFrame([row(None, 0, "assistant", "q"), row(None, 0, "assistant", "q"), row(None, 1, None, None), row(3, 0, "user", "a")], "conv_id long, turn long, role string, text string, formatted string, parts string, blocks string")
+    out = chat.format_chats(turns).withColumn("turns", chat.parse("formatted")).collect()
+    assert sorted((r.conv_id is None, len(r.turns), r.turns[0].role, r.turns[0].text) for r in out) == [(False, 1, "user", "a"), (True, 1, "", ""), (True, 1, "assistant", "q"), (True, 1, "assistant", "q")]
 
 
 def test_many_turns(spark):
