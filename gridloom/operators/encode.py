@@ -54,6 +54,19 @@ def decode(delta: Column, first: Column, minimum: Column) -> Column:
     return delta + F.coalesce(first, F.lit(0)) + F.coalesce(minimum, F.lit(0))
 
 
+def append(a: DataFrame, b: DataFrame, idx: str = "idx") -> DataFrame:
+    """Array ``b`` after array ``a``: its places go on from a's last. Minimum and maximum follow from :func:`width_stats`."""
+    ahead = a.agg(F.max(idx) + 1).first()[0] or 0
+    return a.unionByName(b.withColumn(idx, F.col(idx) + ahead))
+
+
+def sketched(df: DataFrame, idx: str, value: str, bits: int) -> DataFrame:
+    """Items as they are stored with ``bits`` sketch bits: (idx, block, first, delta), delta to the block's first value."""
+    block = F.shiftright(F.col(idx), bits)
+    first = df.groupBy(block.alias("block")).agg(F.min_by(value, idx).alias("first"))
+    return df.withColumn("block", block).join(first, "block").select(idx, "block", "first", (F.col(value) - F.col("first")).alias("delta"))
+
+
 def increment(df: DataFrame, key: str, by: str = "n") -> DataFrame:
     """Increments summed by position."""
     return df.groupBy(key).agg(F.sum(by).alias(by))

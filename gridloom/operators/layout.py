@@ -89,6 +89,30 @@ def nnz_balanced(t: CooTensor, k: int) -> DataFrame:
     return summed.groupBy(bucket.cast("long").alias("range_id")).agg(F.min("pos").alias("min_pos"), (F.max("pos") + 1).alias("max_pos"), F.sum("n").alias("nnz"))
 
 
+def nnz_greedy(t: CooTensor, k: int) -> DataFrame:
+    """At most ``k`` ranges of index positions: (range_id, min_pos, max_pos, nnz).
+
+    Each range goes on while it holds at most ceil(nnz / k) entries, but has one position at least; the k-th
+    takes the rest. A boundary depends on the one before, so the driver looks up k of them in the table of offsets.
+    """
+    if k < 1:
+        raise ValueError("one range at least")
+    spark = t.df.sparkSession
+    table = cut(offsets(t), "offsets")
+    end, total = table.agg(F.max("pos"), F.max("start")).first()
+    if not total:
+        return spark.createDataFrame([(0, 0, 0, 0)], "range_id long, min_pos long, max_pos long, nnz long")
+    most, out, pos, before = -(-total // k), [], 0, 0
+    while pos < end and len(out) < k - 1:
+        far, held, one = table.where(F.col("pos") > pos).agg(F.max(F.when(F.col("start") <= before + most, F.col("pos"))), F.max(F.when(F.col("start") <= before + most, F.col("start"))), F.min("start")).first()
+        new, ahead = (far, held) if far is not None else (pos + 1, one)
+        out.append((len(out), pos, new, ahead - before))
+        pos, before = new, ahead
+    if pos < end:
+        out.append((len(out), pos, end, total - before))
+    return spark.createDataFrame(out, "range_id long, min_pos long, max_pos long, nnz long")
+
+
 def max_ranges(nnz: int, most_per_range: int, cap: int) -> int:
     """min(ceil(nnz / most_per_range), cap), at least 1."""
     return max(1, min(-(-nnz // most_per_range), cap))

@@ -487,3 +487,6 @@ def ceil_div_orders(spark, sf):
 @query(f"select o_orderkey as v, {_WIDTH('o_orderkey * 1000')}::bigint as bytes from orders")
 def encode_size_orders(spark, sf):
     return _table(spark, sf, "orders").select(F.col("o_orderkey").alias("v"), encode_size(F.col("o_orderkey") * 1000).alias("bytes"))
+
+
+from . import format_queries  # noqa: E402, F401  registers its queries here
