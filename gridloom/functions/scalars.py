@@ -52,26 +52,33 @@ def is_nonzero(x: Column, value_type: str) -> Column:
     return x != 0
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _six_digits(v: Column) -> Column:
     """A double rounded to six significant digits as C does it: by its exact binary value, ties to even."""
-    a = F.abs(v)
-    places = F.lit(5) - F.floor(F.log10(a))
-    ten = F.pow(F.lit(10.0), places)
     high = lambda y: F.lit(134217729.0) * y - (F.lit(134217729.0) * y - y)
-    p = a * ten
-    ah, th = high(a), high(ten)
-    al, tl = a - ah, ten - th
-    rest = al * tl - (((p - ah * th) - al * th) - ah * tl)  # what the product lost
-    whole = F.floor(p).cast("double")
-    part = p - whole
-    up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (whole % 2 == 1))))
-    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / ten
-    step = F.pow(F.lit(10.0), -places)
-    count = F.floor(a / step).cast("double")
-    left = 2 * (a - count * step)
-    above = (left > step) | ((left == step) & (count % 2 == 1))
-    large = (count + F.when(above, 1.0).otherwise(0.0)) * step
-    out = F.when((places >= 0) & (places <= 22), rounded).when((places < 0) & (places >= -9), large).otherwise(a)
+
+    def small(s: Column) -> Column:
+        a, ten, p = s["a"], s["ten"], s["a"] * s["ten"]
+        ah, th = high(a), high(ten)
+        al, tl = a - ah, ten - th
+        rest = al * tl - (((p - ah * th) - al * th) - ah * tl)  # what the product lost
+        whole = F.floor(p).cast("double")
+        up = (p - whole > 0.5) | ((p - whole == 0.5) & ((rest > 0) | ((rest == 0) & (whole % 2 == 1))))
+        return (whole + F.when(up, 1.0).otherwise(0.0)) / ten
+
+    def large(s: Column) -> Column:
+        count = F.floor(s["a"] * 1.0 / s["step"]).cast("double")
+        left = 2 * (s["a"] - count * s["step"])
+        return (count + F.when((left > s["step"]) | ((left == s["step"]) & (count % 2 == 1)), 1.0).otherwise(0.0)) * s["step"]
+
+    a, ten = F.abs(v), F.lit(10.0)
+    places = F.lit(5) - F.floor(F.log10(a))
+    parts = F.struct(a.alias("a"), places.alias("places"), F.pow(ten, places).alias("ten"), F.pow(ten, -places).alias("step"))
+    out = _let(parts, lambda s: F.when((s["places"] >= 0) & (s["places"] <= 22), small(s)).when((s["places"] < 0) & (s["places"] >= -9), large(s)).otherwise(s["a"]))
     return F.when(v == 0, v).when(v < 0, -out).otherwise(out)
 
 
@@ -81,12 +88,15 @@ def format_value(x: Column, value_type: str = "f64") -> Column:
         return F.format_string("(%s, %s)", format_value(x["re"]), format_value(x["im"]))
     if value_type in ("i64", "bool"):
         return x.cast("string")
-    v = _six_digits(x.cast("double"))
-    power = F.floor(F.log10(F.abs(v))).cast("int")
-    sci = F.regexp_replace(F.format_string("%.5e", v), r"\.?0+e", "e")
-    short = F.regexp_replace(F.format_string("%.6g", v), r"(\.\d*?)0+$", "$1")
-    text = F.when((power < -4) | (power >= 6), sci).otherwise(F.regexp_replace(short, r"\.$", ""))
-    return F.when(v == 0, F.lit("0")).when(F.isnan(v), F.lit("nan")).otherwise(text)
+
+    def written(v: Column) -> Column:
+        power = F.floor(F.log10(F.abs(v))).cast("int")
+        sci = F.regexp_replace(F.format_string("%.5e", v), r"\.?0+e", "e")
+        short = F.regexp_replace(F.format_string("%.6g", v), r"(\.\d*?)0+$", "$1")
+        text = F.when((power < -4) | (power >= 6), sci).otherwise(F.regexp_replace(short, r"\.$", ""))
+        return F.when(v == 0, F.lit("0")).when(F.isnan(v), F.lit("nan")).otherwise(text)
+
+    return _let(_let(x.cast("double"), _six_digits), written)
 
 
 def format_vector(xs: Column, most: int = -1) -> Column:
