@@ -133,3 +133,62 @@ def test_marked_words_of_other_alphabets_are_rejected(letters):
     words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(200)]
     assert quality.judge_text(" ".join(words), None, model, quality.BANDS)[-1]
     assert not quality.judge_text(" ".join(w + "###" for w in words), None, model, quality.BANDS)[-1]
+
+
+def test_word_by_word_ids_are_those_of_the_whole_text():
+    import sentencepiece
+
+    model, sp = quality.Fertility(VOCABULARY), sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    rng = random.Random(3)
+    for text in (prose(rng, 300), "The quick, brown fox: 3.14 (and) Straße d'été — ñandú!", "жук λόγος naïve co-op 12ab"):
+        assert model.ids([w.encode() for w in text.split()]).tolist() == sp.encode(" ".join(text.split()))
+
+
+def test_kept_by_a_plain_computation_of_measures_and_bands(spark):
+    """Every document of the smallest tables: measures from whole texts by the library, limits one by one."""
+    import math
+
+    import sentencepiece
+
+    sf, sp = "/root/testdata/sf0.001", sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    got = {r.doc_id: r.kept for r in quality.query(spark, sf).collect()}
+    seen = Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        want = not plain(r.text)[-1]
+        if want:
+            ids = [i for w in words for i in sp.encode(w)]
+            n, count = len(ids), Counter(ids)
+            letters = [c for c in r.text if c.isalpha()]
+            script = "Latin" if all(ord(c) < 0x250 for c in letters) else quality.script_of(r.text)
+            b = quality.BANDS[r.lang if r.lang in quality.BANDS else script]
+            chars = sum(map(len, words)) / n
+            entropy = -sum(k / n * math.log2(k / n) for k in count.values())
+            common = max((k for i, k in count.items() if not sp.is_byte(i) and sp.id_to_piece(i) != "▁"), default=0) / len(words)
+            x = math.log2(max(n, 2))
+            usual = b.curve[0] + b.curve[1] * x + b.curve[2] * x * x
+            bad = [chars < b.least_chars, n / len(words) > b.most_fertility, sum(k for i, k in count.items() if sp.is_byte(i)) / n > b.most_bytes, common > b.most_common, chars < b.soft_chars and entropy < usual - b.deficit]
+            want = not any(bad)
+        assert got[r.doc_id] == want
+        seen[want] += 1
+    assert len(got) == sum(seen.values()) and seen[True] > 100 and seen[False] > 20
+
+
+def test_a_band_fitted_to_half_of_the_labelled_texts_tells_the_other_half_apart(spark):
+    import numpy as np
+
+    sf, model = "/root/testdata/sf0.1", quality.Fertility(VOCABULARY)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("doc_id % 2 = 0").select("doc_id", "text", "quality").collect()
+    measured = []
+    for r in rows:
+        n, _, _, _, _, *m, failed, _ = quality.judge_text(r.text, "en", model, quality.BANDS)
+        if not failed:
+            common = model.measure_all(r.text.encode().split(), 1)[4]
+            measured.append((r.doc_id % 4 == 0, r.quality, (*m, common, round(m[1] * n))))
+    part = lambda half, good: np.array([x for h, q, x in measured if h == half and q == good]).reshape(-1, 6)
+    band = quality.fit_band(quality.Sample(part(True, 1), part(True, 0)))
+    inside = lambda r: quality.within(band, *r[:4], common=r[4], n_tokens=r[5])
+    good, bad = part(False, 1), part(False, 0)
+    assert len(good) > 200 and len(bad) > 15
+    assert sum(map(inside, good)) >= 0.98 * len(good) and sum(map(inside, bad)) <= 0.1 * len(bad)
+    assert quality.fit_band(quality.Sample(part(True, 1), part(True, 0)[:0])).soft_chars == 0
