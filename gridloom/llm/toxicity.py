@@ -13,9 +13,12 @@ only from the TRAIN_MOST of them with the least hash of their id. Their features
 counted on the executors; what the driver gets is at most CANDIDATES counted features, then
 each row's votes and which of these features it has. Neither label, language, source nor id enters a score.
 
-Nulls: a null text is empty and gets the classifier's prior; null ids or labels are not trained on.
-Repeated label rows of an id count once, as toxic if any says so. Without labels
-of both classes the lexicons alone decide. Other columns are ignored.
+TRAIN_MOST bounds the rows: an id that documents repeat is trained on by its least text. CANDIDATES, FEATURES and MINED
+are the model's size, as the width of a layer is: every whole text is scored by all features the model has.
+
+Nulls: a null text is empty and gets the classifier's prior; null ids or labels are not trained on, and a null id is not
+held out. Repeated label rows of an id count once, as toxic if any says so; repeated documents are scored one by one. Without labels
+of both classes the lexicons decide: two insults make a text toxic, one does not. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,14 +47,15 @@ PURE = 0.6  # share of positive rows that a telling feature needs
 STEMS = (4, 5, 6, 7)
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Lexicons of insulting words, by kind and language.
+#: Lexicons of insulting words, by kind and language. Words that are common in another of the languages,
+#: such as "die", "gross" and "rat" in German, are left out.
 LEXICONS = {
     "stupidity": ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "imbecile", "cretin", "fool"),
     "contempt": ("pathetic", "worthless", "loser", "losers", "useless", "failure", "coward"),
-    "dehumanising": ("scum", "trash", "vermin", "garbage", "filth", "rat", "rats", "pig", "pigs"),
+    "dehumanising": ("scum", "trash", "vermin", "garbage", "filth", "subhuman", "parasites"),
     "ridicule": ("clown", "clowns", "joke", "freak", "weirdo", "buffoon"),
-    "disgust": ("disgusting", "revolting", "vile", "gross", "repulsive", "nasty"),
-    "threat": ("kill", "die", "hurt", "destroy", "beat", "burn"),
+    "disgust": ("disgusting", "revolting", "vile", "repulsive", "nasty"),
+    "threat": ("kill", "strangle", "murder", "hang", "shoot"),
     "french": ("imbécile", "crétin", "ordure", "minable", "débile", "connard"),
     "german": ("idioten", "trottel", "dummkopf", "abschaum", "arschloch", "versager"),
     "spanish": ("imbécil", "estúpido", "basura", "escoria", "cretino", "payaso"),
@@ -170,7 +174,7 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, most: int = FEATURES, roun
 
 def lexicon_model() -> tuple[dict[int, float], float]:
     """The model where labels of both classes are missing."""
-    return {zlib.crc32(w.encode()): 4.0 for x in LEXICONS.values() for w in x}, -3.0
+    return {zlib.crc32(w.encode()): 2.0 for x in LEXICONS.values() for w in x}, -3.0
 
 
 def fit(feats: list[np.ndarray], votes: np.ndarray, y: np.ndarray) -> tuple[dict[int, float], float]:
@@ -189,7 +193,7 @@ def fit(feats: list[np.ndarray], votes: np.ndarray, y: np.ndarray) -> tuple[dict
 
 
 def held_out(id_: Column) -> Column:
-    return F.crc32(id_.cast("string").cast("binary")) % HELD_OUT[0] == HELD_OUT[1]
+    return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % HELD_OUT[0] == HELD_OUT[1], F.lit(False))
 
 
 def _feature_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -203,7 +207,8 @@ def _feature_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(feats, pa.binary()), pa.array(votes, pa.binary())], ["doc_id", "toxic", "features", "votes"])
 
     ship(docs.sparkSession)
-    return cut(docs.join(known, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, features binary, votes binary"), "training")
+    one = docs.join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return cut(one.mapInArrow(run, "doc_id long, toxic int, features binary, votes binary"), "training")
 
 
 def _candidates(rows: DataFrame, n: int, positive: int) -> np.ndarray:
