@@ -62,8 +62,12 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     payload = F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("payload") / chunk).cast("int") - 1, F.lit(0))), lambda i: F.struct(i.alias("chunk_no"), F.substr(F.col("payload"), i * chunk + 1, F.lit(chunk)).alias("data"), ((i + 1) * chunk >= F.length("payload")).alias("last")))
-    chunks = rows.select("page_id", "url", F.explode(cuts).alias("c")).select("page_id", "url", "c.*")
+    # Numbers are exploded, not chunks: each row then takes its own piece of the payload, so no row holds a second copy of all.
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("payload") / chunk).cast("int") - 1, F.lit(0)))
+    short = F.length("payload") <= chunk
+    piece = F.when(short, F.col("payload")).otherwise(F.substr(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk)))
+    numbered = rows.select("page_id", "url", "payload", F.explode(numbers).alias("chunk_no"))
+    chunks = numbered.select("page_id", "url", "chunk_no", piece.alias("data"), ((F.col("chunk_no") + 1) * chunk >= F.length("payload")).alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, sha, size = TaskContext.get().partitionId(), -1, hashlib.sha1(), 0
