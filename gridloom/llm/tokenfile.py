@@ -9,7 +9,8 @@ read one at a time. A shard holds documents in ascending doc_id order:
     index: doc_id i64[n] | has_id u8[n] | offset u64[n + 1] | n_tokens u64[n] | crc32 u32[n]
     index offset u64 | n u64 | magic 8
 
-Shards are cut at quantiles of doc_id, so only compressed ids are shuffled. A shard is
+Shards are cut at quantiles of doc_id, so only compressed ids are shuffled. An id that fills several shards, and
+rows without an id, are dealt to as many by checksum and place in their task. A shard is
 written under a name of its own by each task attempt, and the manifest lists the attempt
 that counts; a lost executor costs its shards only.
 
@@ -19,7 +20,11 @@ space before any merge, which ``splits_at_space`` checks from the tokenizer's fi
 others whole texts are encoded.
 
 Nulls: a null text is empty and holds the end id only; rows with a null doc_id come
-first. Rows with equal ids stay, ordered by their bytes. Other columns are ignored.
+first. Rows with equal ids stay, ordered by length and bytes within a shard. A very long text is one frame. An empty table
+has one shard of no documents at most. Other columns are ignored.
+
+The dictionary is trained on a chunk of SAMPLE_CHARS characters, at a place that a hash of the id gives, of each of the SAMPLE_DOCS
+documents with the least hash of their id (of rows with equal ids, the least chunk). It only affects the size of files: all documents are encoded whole.
 """
 
 from __future__ import annotations
@@ -224,11 +229,40 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
 
 
 def _sampled(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> list[bytes]:
-    """Serialized ids of the SAMPLE_DOCS documents with the least hash of doc_id, their first characters."""
-    ids = [r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
-    rows = docs.where(F.col("doc_id").isin(ids)).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE_DOCS).collect() if ids else []
+    """Serialized ids of a chunk of each of the SAMPLE_DOCS documents with the least hash of doc_id."""
+    ids = [r[0] for r in docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    chunk = F.substr(F.coalesce("text", F.lit("")), F.coalesce(at, F.lit(1)), F.lit(SAMPLE_CHARS))
+    rows = docs.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(chunk).alias("text")).collect() if ids else []
     encode = encoder(tokenizer, end_id)
-    return [np.frombuffer(encode(r.text), "<u4").astype(f"<u{width}").tobytes() for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))]
+    return [np.frombuffer(encode(r.text), "<u4").astype(f"<u{width}").tobytes() for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+class Shards:
+    """Which shard a row goes to.
+
+    ``cuts`` are quantiles of doc_id: ids up to a cut and over the one before share a shard. A cut that occurs k > 1 times is an id of k - 1 shards'
+    rows or more: it gets k of its own, after those of lesser ids. Rows without an id have ``nulls`` shards, which come first.
+    """
+
+    def __init__(self, cuts: list[int], nulls: int):
+        self.nulls = nulls
+        self.bounds, own = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.own = np.where(own > 1, own, 0)
+        self.first = nulls + np.concatenate([[0], np.cumsum(1 + self.own)]).astype(np.int64)
+        self.count = int(self.first[-1]) + 1
+
+    def of(self, ids: pa.Array, crcs: np.ndarray, seen: int) -> np.ndarray:
+        """Shard of each row; ``seen`` rows of the task came before."""
+        value, none = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
+        spread = crcs + np.arange(seen, seen + len(value))
+        at = np.searchsorted(self.bounds, value, "left")
+        out = self.first[at]
+        if len(self.bounds):
+            i = np.minimum(at, len(self.bounds) - 1)
+            hot = (self.bounds[i] == value) & (self.own[i] > 0)
+            out = np.where(hot, out + 1 + spread % np.maximum(self.own[i], 1), out)
+        return np.where(none, spread % max(self.nulls, 1), out).astype(np.int32)
 
 
 class ShardWriter:
@@ -292,12 +326,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, id_col: str = "doc_
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    n = docs.count()
-    shards = max(1, min(-(-n // docs_per_shard), MOST_SHARDS))
+    n, named = docs.agg(F.count("*"), F.count("doc_id")).first()
+    wanted = lambda rows: min(-(-rows // docs_per_shard), MOST_SHARDS)
     cuts: list[int] = []
-    if shards > 1:
-        part = ", ".join(f"{i / shards!r}D" for i in range(1, shards))
-        cuts = sorted(set(docs.selectExpr(f"percentile_approx(doc_id, array({part}), {max(10_000, 20 * shards)})").first()[0] or []))
+    if (k := wanted(named)) > 1:
+        part = ", ".join(f"{i / k!r}D" for i in range(1, k))
+        cuts = docs.selectExpr(f"percentile_approx(doc_id, array({part}), {max(10_000, 20 * k)})").first()[0] or []
+    plan = Shards(cuts, wanted(n - named))
+    shards = plan.count
     dictionary = train_dictionary(_sampled(docs, tokenizer, end_id, width))
     digest = hashlib.sha256(dictionary).digest()
     fs, at = open_fs(root)
@@ -307,7 +343,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, id_col: str = "doc_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, zip_ = encoder(tokenizer, end_id), zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
-        bounds = np.array(cuts, np.int64)
+        seen = 0
         for b in batches:
             sizes, crcs, frames = [], [], []
             for at in range(0, b.num_rows, ROWS):
@@ -316,7 +352,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, id_col: str = "doc_
                     sizes.append(len(raw) // 4)
                     frames.append(zip_.compress(np.frombuffer(raw, "<u4").astype("<u2").tobytes() if width == 2 else raw))
             ids = b.column(0)
-            shard = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left").astype(np.int32)
+            shard = plan.of(ids, np.array(crcs, np.int64), seen)
+            seen += b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(frames, pa.binary())], ["shard", "doc_id", "n_tokens", "crc", "frame"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,3 +115,20 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, tokenfile.query(spark, sf).collect())) == expected(rows)
+
+
+def test_an_id_of_many_rows_and_rows_without_id_fill_several_shards(spark, tmp_path):
+    rows = [(None, f"none {i}") for i in range(50)] + [(None, "same")] * 30 + [(7, f"hot {i}") for i in range(90)] + [(i, f"w {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    manifest = tokenfile.write_tokens(df, WORDS, str(tmp_path), docs_per_shard=20)
+    shards = sorted(manifest.collect(), key=lambda r: r.shard)
+    assert max(r.n_docs for r in shards) <= 45 and sum(r.n_docs for r in shards) == len(rows)
+    back = sorted(tokenfile.read_tokens(manifest, str(tmp_path)).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in back]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    want = sorted((str(i), zlib.crc32(np.array(ENCODE(t), "<u4").tobytes())) for i, t in rows)
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in back) == want
+    at = 0
+    for r in back:
+        assert r.start == at
+        at += r.n_tokens
