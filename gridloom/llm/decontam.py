@@ -181,7 +181,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, **cols: str) -> tuple[DataFrame, DataFrame]:
-    """(found, sets): a row doc_id, n_words, n_hit, n_spans, sid, contaminated per document; sid, items (sorted) per set of items.
+    """(found, sets): a row rid, doc_id, n_words, n_hit, n_spans, sid, contaminated per document; sid, items (sorted) per set of items.
 
     n_spans counts the windows of SPAN words; sid is null where nothing is hit.
     """
@@ -196,17 +196,23 @@ def judge(docs: DataFrame, benchmark: DataFrame, **cols: str) -> tuple[DataFrame
     gids = spans.select("rid", "gid").distinct().groupBy("rid").agg(F.array_sort(F.collect_list("gid")).alias("gids")).withColumn("sid", F.sha2(F.array_join("gids", ","), 256))
     gids = cut(gids, "gids")
     sets = gids.dropDuplicates(["sid"]).select("sid", F.explode("gids").alias("gid")).join(groups, "gid").select("sid", "item_id").distinct()
-    sets = sets.groupBy("sid").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    sets = cut(sets.groupBy("sid").agg(F.array_sort(F.collect_list("item_id")).alias("items")), "sets")
     out = base.join(covered.join(gids.select("rid", "sid"), "rid"), "rid", "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "sid", ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated")), sets
+    return out.select("rid", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "sid", ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated")), sets
+
+
+def _with_sets(found: DataFrame, sets: DataFrame, n_bytes: Column) -> DataFrame:
+    """``found`` with what ``sets`` says of its sid; rows without one have keys of their own, so that a shuffle spreads them."""
+    key = F.coalesce("sid", F.concat(F.lit("-"), F.col("rid").cast("string")))
+    return found.withColumn("key", key).join(_small(sets.withColumnRenamed("sid", "key"), n_bytes), "key", "left")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **cols: str) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_spans, n_items, items (sorted), contaminated."""
     found, sets = judge(docs, benchmark, **cols)
     listed = F.coalesce("items", F.array().cast("array<string>"))
-    return found.join(sets, "sid", "left").select("doc_id", "n_words", "n_hit", "n_spans", F.size(listed).cast("long").alias("n_items"), listed.alias("items"), "contaminated")
+    return _with_sets(found, sets, F.size("items") * 24 + 80).select("doc_id", "n_words", "n_hit", "n_spans", F.size(listed).cast("long").alias("n_items"), listed.alias("items"), "contaminated")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +220,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, sets = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     told = sets.select("sid", F.size("items").cast("long").alias("k"), F.sha2(F.array_join("items", ","), 256).alias("digest"))
     none = F.sha2(F.lit(""), 256)
-    return found.join(told, "sid", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", F.coalesce("k", F.lit(0)).alias("n_items"), F.coalesce("digest", none).alias("items_sha256"), "contaminated")
+    return _with_sets(found, told, F.lit(160)).select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", F.coalesce("k", F.lit(0)).alias("n_items"), F.coalesce("digest", none).alias("items_sha256"), "contaminated")
 
 
 ORACLE = f"""
