@@ -16,7 +16,7 @@ from .meta import MatrixType, TensorMeta
 from .operators import access, compare, dense, encode, layout
 from .plans.components import connected_components
 from .plans.pagerank import pagerank, top_k
-from .queries import _CC, _G, _GRID, M_SQL, OFFSET, T3_SQL, T_SQL, _OFFSETS, _pagerank_sql, _sizes, _table, entries, graph, matrix, query, sparse_graph, tensor, whole_tensor
+from .queries import _CC, _G, _GRID, M_SQL, OFFSET, T_SQL, _OFFSETS, _pagerank_sql, _sizes, _table, entries, graph, matrix, query, sparse_graph, tensor
 from .sources.mtx import read_meta as mtx_meta
 from .sources.mtx import read_mtx, write_mtx
 from .sources.prm import read_prm, read_prm_meta, write_prm
@@ -55,10 +55,10 @@ def mtx_drops_zeros(spark, sf):
     return read_mtx(spark, path).scalar
 
 
-@query(f"with {T3_SQL} select d0, d1, d2, v0, v1 from t")
+@query(f"with {T_SQL} select d0, d1, d2, v0, v1 from t")
 def mtx_tensor_round_trip(spark, sf):
     """Three dimensions and depth 2 by the header's extension."""
-    write_mtx(whole_tensor(spark, sf), path := _path(spark, ".mtx"))
+    write_mtx(tensor(spark, sf), path := _path(spark, ".mtx"))
     return _pair(read_mtx(spark, path))
 
 
@@ -77,9 +77,9 @@ def mtx_pattern_round_trip(spark, sf):
     return read_tensor(spark, path).df
 
 
-@query(f"with {T3_SQL} select 'coordinate real general' as type, 'f64' as value_type, '[50, ' || n1 || ', 8, 2]' as shape, '[0, 2, 1, 3]' as storage, 50::bigint as rows, 8::bigint as cols, (select count(*) from t) as nnz, 0::bigint as index_dim from sz")
+@query(f"with {T_SQL} select 'coordinate real general' as type, 'f64' as value_type, '[50, ' || n1 || ', 8, 2]' as shape, '[0, 2, 1, 3]' as storage, 50::bigint as rows, 8::bigint as cols, (select count(*) from t) as nnz, 0::bigint as index_dim from sz")
 def mtx_header_probe(spark, sf):
-    write_mtx(whole_tensor(spark, sf), path := _path(spark, ".mtx"))
+    write_mtx(tensor(spark, sf), path := _path(spark, ".mtx"))
     return _told(spark, mtx_meta(spark, path))
 
 
@@ -104,9 +104,9 @@ def prm_round_trip(spark, sf):
     return read_prm(spark, path).scalar
 
 
-@query(f"with {T3_SQL} select d0, d1, d2, v0, v1 from t")
+@query(f"with {T_SQL} select d0, d1, d2, v0, v1 from t")
 def prm_tensor_round_trip(spark, sf):
-    write_prm(whole_tensor(spark, sf), path := _path(spark, ".prm"))
+    write_prm(tensor(spark, sf), path := _path(spark, ".prm"))
     return _pair(read_tensor(spark, path))
 
 
@@ -116,9 +116,9 @@ def prm_header_probe(spark, sf):
     return _told(spark, read_prm_meta(path))
 
 
-@query(f"with {T3_SQL} select d0, d1, d2, v0, v1 from t")
+@query(f"with {T_SQL} select d0, d1, d2, v0, v1 from t")
 def parquet_round_trip(spark, sf):
-    write_tensor(whole_tensor(spark, sf), path := _path(spark, ""))
+    write_tensor(tensor(spark, sf), path := _path(spark, ""))
     return _pair(read_tensor(spark, path))
 
 

@@ -1,7 +1,7 @@
 """The engine's own queries over the standard tables, each with the SQL that says the same.
 
 Every query takes (spark, sf_dir). Inputs: ``M`` part x supplier with summed quantity, ``T`` a
-three-dimensional tensor of depth 2 from some rows, ``T3`` one from all rows, ``Z`` entries with zero values, ``G`` a bipartite
+three-dimensional tensor of depth 2, ``Z`` entries with zero values, ``G`` a bipartite
 graph part -> supplier (and its reverse), ``G2`` a sparse graph of many components.
 """
 
@@ -56,22 +56,12 @@ M_SQL = "m as (select l_partkey as d0, l_suppkey as d1, sum(l_quantity) as val f
 
 
 def tensor(spark: SparkSession, sf: str) -> CooTensor:
-    """T: (part mod 20, supplier mod 10, line number - 1) of large quantities, depth 2; stored in order 0, 2, 1."""
-    rows = _table(spark, sf, "lineitem").where("l_quantity >= 45")
-    df = rows.groupBy((F.col("l_partkey") % 20).alias("d0"), (F.col("l_suppkey") % 10).alias("d1"), (F.col("l_linenumber") - 1).cast("long").alias("d2")).agg(F.array(F.sum("l_quantity"), F.round(F.sum("l_extendedprice"), 2)).alias("vals"))
-    return CooTensor(df, TensorMeta(MatrixType("CRG"), "f64", (20, 10, 7, 2), (0, 2, 1, 3)))
-
-
-T_SQL = "t as (select l_partkey % 20 as d0, l_suppkey % 10 as d1, (l_linenumber - 1)::bigint as d2, sum(l_quantity) as v0, round(sum(l_extendedprice), 2) as v1 from lineitem where l_quantity >= 45 group by 1, 2, 3)"
-
-
-def whole_tensor(spark: SparkSession, sf: str) -> CooTensor:
-    """T3: (part mod 50, supplier, line number) of all line items, depth 2; stored in order 0, 2, 1."""
+    """T: (part mod 50, supplier, line number) of all line items, depth 2; stored in order 0, 2, 1."""
     df = _table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 50).alias("d0"), F.col("l_suppkey").alias("d1"), F.col("l_linenumber").cast("long").alias("d2")).agg(F.array(F.sum("l_quantity"), F.round(F.sum("l_extendedprice"), 2)).alias("vals"))
     return CooTensor(df, TensorMeta(MatrixType("CRG"), "f64", (50, _sizes(spark, sf)[1], 8, 2), (0, 2, 1, 3)))
 
 
-T3_SQL = "sz as (select count(*) as n1 from supplier), t as (select l_partkey % 50 as d0, l_suppkey as d1, l_linenumber::bigint as d2, sum(l_quantity) as v0, round(sum(l_extendedprice), 2) as v1 from lineitem group by 1, 2, 3)"
+T_SQL = "sz as (select count(*) as n1 from supplier), t as (select l_partkey % 50 as d0, l_suppkey as d1, l_linenumber::bigint as d2, sum(l_quantity) as v0, round(sum(l_extendedprice), 2) as v1 from lineitem group by 1, 2, 3)"
 
 
 def entries(spark: SparkSession, sf: str) -> CooTensor:
@@ -167,10 +157,11 @@ def scan_until(spark, sf):
 
 # Dense forms
 
-_GRID = "g as (select a as d0, b as d1, c as d2, k as depth from range(20) x(a), range(10) y(b), range(7) z(c), range(2) w(k))"
+_GRID = "g as (select a as d0, b as d1, c as d2, k as depth from range(50) x(a), range((select n1 from sz)) y(b), range(8) z(c), range(2) w(k))"
+_CELL = "coalesce(case depth when 0 then v0 else v1 end, 0) as val"
 
 
-@query(f"with {T_SQL}, {_GRID} select ((g.d0 * 7 + g.d2) * 10 + g.d1) * 2 + depth as idx, g.d0, g.d1, g.d2, depth, coalesce(case depth when 0 then v0 else v1 end, 0) as val from g left join t on g.d0 = t.d0 and g.d1 = t.d1 and g.d2 = t.d2")
+@query(f"with {T_SQL}, {_GRID} select ((g.d0 * 8 + g.d2) * n1 + g.d1) * 2 + depth as idx, g.d0, g.d1, g.d2, depth, {_CELL} from sz, g left join t on g.d0 = t.d0 and g.d1 = t.d1 and g.d2 = t.d2")
 def dense_full(spark, sf):
     return dense.to_dense(tensor(spark, sf))
 
@@ -178,33 +169,33 @@ def dense_full(spark, sf):
 _SLICE = "s as (select distinct d1, d2, depth from g)"
 
 
-@query(f"with {T_SQL}, {_GRID}, {_SLICE} select (s.d2 * 10 + s.d1) * 2 + depth as idx, s.d1, s.d2, depth, coalesce(case depth when 0 then v0 else v1 end, 0) as val from s left join t on t.d0 = 3 and s.d1 = t.d1 and s.d2 = t.d2")
+@query(f"with {T_SQL}, {_GRID}, {_SLICE} select (s.d2 * n1 + s.d1) * 2 + depth as idx, s.d1, s.d2, depth, {_CELL} from sz, s left join t on t.d0 = 3 and s.d1 = t.d1 and s.d2 = t.d2")
 def dense_slice(spark, sf):
     return dense.dense_slice(tensor(spark, sf), 3)
 
 
-@query(f"with {T_SQL}, {_GRID}, {_SLICE} select depth * 70 + s.d2 * 10 + s.d1 as idx, s.d1, s.d2, depth, coalesce(case depth when 0 then v0 else v1 end, 0) as val from s left join t on t.d0 = 3 and s.d1 = t.d1 and s.d2 = t.d2")
+@query(f"with {T_SQL}, {_GRID}, {_SLICE} select depth * 8 * n1 + s.d2 * n1 + s.d1 as idx, s.d1, s.d2, depth, {_CELL} from sz, s left join t on t.d0 = 3 and s.d1 = t.d1 and s.d2 = t.d2")
 def dense_slice_split_depth(spark, sf):
     return dense.dense_slice(tensor(spark, sf), 3, split_depths=True)
 
 
-@query(f"with {T_SQL}, {_GRID} select ((g.d0 * 7 + g.d2) * 10 + g.d1) * 2 + depth as idx, g.d0, g.d1, g.d2, depth, coalesce(case depth when 0 then v0 else v1 end, 0) as val from g left join t on g.d0 = 3 and g.d0 = t.d0 and g.d1 = t.d1 and g.d2 = t.d2")
+@query(f"with {T_SQL}, {_GRID} select ((g.d0 * 8 + g.d2) * n1 + g.d1) * 2 + depth as idx, g.d0, g.d1, g.d2, depth, {_CELL} from sz, g left join t on g.d0 = 3 and g.d0 = t.d0 and g.d1 = t.d1 and g.d2 = t.d2")
 def dense_slice_with_index(spark, sf):
     return dense.dense_slice(tensor(spark, sf), 3, omit_index=False)
 
 
-@query(f"with {T_SQL}, {_GRID}, {_SLICE}, l as (select d1, d2, arg_max(v0, d0) as v0, arg_max(v1, d0) as v1 from t where d0 in (1, 3, 5) group by 1, 2) select (s.d2 * 10 + s.d1) * 2 + depth as idx, s.d1, s.d2, depth, coalesce(case depth when 0 then v0 else v1 end, 0) as val from s left join l on s.d1 = l.d1 and s.d2 = l.d2")
+@query(f"with {T_SQL}, {_GRID}, {_SLICE}, l as (select d1, d2, arg_max(v0, d0) as v0, arg_max(v1, d0) as v1 from t where d0 in (1, 3, 5) group by 1, 2) select (s.d2 * n1 + s.d1) * 2 + depth as idx, s.d1, s.d2, depth, {_CELL} from sz, s left join l on s.d1 = l.d1 and s.d2 = l.d2")
 def dense_slice_accumulate(spark, sf):
     return dense.accumulate_slices(tensor(spark, sf), [1, 3, 5])
 
 
-@query(f"with {T_SQL} select d0, d1, d2, ((d0 * 7 + d2) * 10 + d1) * 2 + 1 as joined, (d0 * 7 + d2) * 10 + d1 + 1400 as split from t")
+@query(f"with {T_SQL} select d0, d1, d2, ((d0 * 8 + d2) * n1 + d1) * 2 + 1 as joined, (d0 * 8 + d2) * n1 + d1 + 400 * n1 as split from t, sz")
 def linear_index(spark, sf):
     t = tensor(spark, sf)
     return t.df.select("d0", "d1", "d2", dense.linear_index(t.meta, 1).alias("joined"), dense.linear_index(t.meta, 1, split_depths=True).alias("split"))
 
 
-@query("select id as idx, id // 140 as d0, (id // 2) % 10 as d1, (id // 20) % 7 as d2, id % 2 as depth from range(2800) r(id)")
+@query("with sz as (select count(*) as n1 from supplier) select id as idx, id // (16 * n1) as d0, (id // 2) % n1 as d1, (id // (2 * n1)) % 8 as d2, id % 2 as depth from sz, range((select 800 * n1 from sz)) r(id)")
 def linear_unindex(spark, sf):
     m = tensor(spark, sf).meta
     cols = dense.linear_unindex(m, F.col("id"))
@@ -225,58 +216,6 @@ def dense_round_trip(spark, sf):
     return back.df.select("d0", "d1", "d2", F.get("vals", F.lit(0)).alias("v0"), F.get("vals", F.lit(1)).alias("v1"))
 
 
-_GRID3 = "g as (select a as d0, b as d1, c as d2, k as depth from range(50) x(a), range((select n1 from sz)) y(b), range(8) z(c), range(2) w(k))"
-_CELL = "coalesce(case depth when 0 then v0 else v1 end, 0) as val"
-
-
-@query(f"with {T3_SQL}, r as (select *, row_number() over (order by d0, d2, d1) - 1 as o from t) select o * 2 as idx, v0 as val from r union all select o * 2 + 1, v1 from r")
-def whole_ordinal_access_depth(spark, sf):
-    return access.ordinals(whole_tensor(spark, sf)).select("idx", "val")
-
-
-@query(f"with {T3_SQL} select d0 || ' ' || d1 || ' ' || d2 as line from t")
-def whole_nonzero_positions(spark, sf):
-    return access.position_lines(whole_tensor(spark, sf))
-
-
-@query(f"with {T3_SQL}, {_GRID3} select ((g.d0 * 8 + g.d2) * n1 + g.d1) * 2 + depth as idx, g.d0, g.d1, g.d2, depth, {_CELL} from sz, g left join t on g.d0 = t.d0 and g.d1 = t.d1 and g.d2 = t.d2")
-def whole_dense_full(spark, sf):
-    return dense.to_dense(whole_tensor(spark, sf))
-
-
-@query(f"with {T3_SQL}, {_GRID3}, {_SLICE} select (s.d2 * n1 + s.d1) * 2 + depth as idx, s.d1, s.d2, depth, {_CELL} from sz, s left join t on t.d0 = 3 and s.d1 = t.d1 and s.d2 = t.d2")
-def whole_dense_slice(spark, sf):
-    return dense.dense_slice(whole_tensor(spark, sf), 3)
-
-
-@query(f"with {T3_SQL}, {_GRID3}, {_SLICE} select depth * 8 * n1 + s.d2 * n1 + s.d1 as idx, s.d1, s.d2, depth, {_CELL} from sz, s left join t on t.d0 = 3 and s.d1 = t.d1 and s.d2 = t.d2")
-def whole_dense_slice_split_depth(spark, sf):
-    return dense.dense_slice(whole_tensor(spark, sf), 3, split_depths=True)
-
-
-@query(f"with {T3_SQL}, {_GRID3} select ((g.d0 * 8 + g.d2) * n1 + g.d1) * 2 + depth as idx, g.d0, g.d1, g.d2, depth, {_CELL} from sz, g left join t on g.d0 = 3 and g.d0 = t.d0 and g.d1 = t.d1 and g.d2 = t.d2")
-def whole_dense_slice_with_index(spark, sf):
-    return dense.dense_slice(whole_tensor(spark, sf), 3, omit_index=False)
-
-
-@query(f"with {T3_SQL}, {_GRID3}, {_SLICE}, l as (select d1, d2, arg_max(v0, d0) as v0, arg_max(v1, d0) as v1 from t where d0 in (1, 3, 5) group by 1, 2) select (s.d2 * n1 + s.d1) * 2 + depth as idx, s.d1, s.d2, depth, {_CELL} from sz, s left join l on s.d1 = l.d1 and s.d2 = l.d2")
-def whole_dense_slice_accumulate(spark, sf):
-    return dense.accumulate_slices(whole_tensor(spark, sf), [1, 3, 5])
-
-
-@query(f"with {T3_SQL} select d0, d1, d2, ((d0 * 8 + d2) * n1 + d1) * 2 + 1 as joined, (d0 * 8 + d2) * n1 + d1 + 400 * n1 as split from t, sz")
-def whole_linear_index(spark, sf):
-    t = whole_tensor(spark, sf)
-    return t.df.select("d0", "d1", "d2", dense.linear_index(t.meta, 1).alias("joined"), dense.linear_index(t.meta, 1, split_depths=True).alias("split"))
-
-
-@query(f"with {T3_SQL} select d0, d1, d2, v0, v1 from t")
-def whole_dense_round_trip(spark, sf):
-    t = whole_tensor(spark, sf)
-    back = dense.from_dense(dense.to_dense(t), t.meta)
-    return back.df.select("d0", "d1", "d2", F.get("vals", F.lit(0)).alias("v0"), F.get("vals", F.lit(1)).alias("v1"))
-
-
 @query(f"with {M_SQL} select d1, n0 as width, sum(val) as total from m, sz group by d1, n0")
 def dense_rows(spark, sf):
     rows = dense.to_arrays(matrix(spark, sf))

@@ -49,7 +49,7 @@ def test_tensor_queries_see_all_rows_and_fill_zeros(spark, duck):
     (lines,) = duck.execute("select count(*) from (select distinct l_partkey % 50, l_suppkey, l_linenumber from lineitem)").fetchone()
     (quantity,) = duck.execute("select sum(l_quantity) from lineitem").fetchone()
     (cells,) = duck.execute("select 50 * count(*) * 8 from supplier").fetchone()
-    assert queries.QUERIES["whole_nonzero_positions"](spark, SF).count() == lines
-    first = queries.QUERIES["whole_dense_full"](spark, SF).where("depth = 0")
+    assert queries.QUERIES["nonzero_positions"](spark, SF).count() == lines
+    first = queries.QUERIES["dense_full"](spark, SF).where("depth = 0")
     n, total, zeros = first.selectExpr("count(*)", "sum(val)", "count_if(val = 0)").first()
     assert (n, total, zeros) == (cells, quantity, cells - lines) and zeros > 0
