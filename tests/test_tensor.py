@@ -324,3 +324,40 @@ def test_set_value_and_describe(spark):
     assert "positions: 9 items from 0 to 4" in compare.describe(t, 2, encodings=True)
     said = compare.describe(t, 2)
     assert "nnz: 9" in said and "data: [1.21, 1.22, 1.31, 1.32, ...]" in said
+
+
+@pytest.mark.parametrize("bits", [2, 16])
+def test_prm_is_written_and_read_in_chunks(spark, tmp_path, monkeypatch, bits):
+    """The driver gathers no entries, and the file holds what one process would write."""
+    import io
+    import random
+
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(bits)
+    pos = sorted({(rng.randrange(9), rng.randrange(40) * 5, rng.randrange(70, 76)) for _ in range(300)})
+    m = TensorMeta(MatrixType("CRG"), "f64", (9, 200, 80, 2), (1, 0, 2, 3))
+    rows = [(*p, [float(i), -0.5]) for i, p in enumerate(pos)]
+    t = CooTensor(spark.createDataFrame(rows, "d0 long, d1 long, d2 long, vals array<double>"), m)
+    monkeypatch.setattr(prm, "CHUNK_BITS", bits)
+    whole = DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "toPandas", lambda df: (_ for _ in ()).throw(AssertionError("entries on the driver")) if "vals" in df.columns else whole(df))
+    prm.write_prm(t, str(tmp_path / "c.prm"))
+    with open(tmp_path / "c.prm", "rb") as f:
+        prm._read_head(f)
+        body = io.BytesIO(f.read())
+    stored = sorted((b, a, c) for a, b, c in pos)
+    pairs = sorted({x[:2] for x in stored})
+    index = [sum(x[0] < p for x in pairs) for p in range(pairs[-1][0] + 2)]
+    want = prm.pack(np.array(index), 8) + prm.pack(np.array([x[1] for x in pairs]), 4)
+    assert body.read(len(want)) == want
+    assert prm._read_level_head(body) == (m.shape, m.order, 1, len(stored))
+    below = [sum(x[:2] < p for x in stored) for p in pairs] + [len(stored)]
+    want = prm.pack(np.array(below), 8) + prm.pack(np.array([x[2] for x in stored]), 4)
+    assert body.read(len(want)) == want
+    assert len(body.read()) == 8 + 16 * len(stored)
+    assert compare.equal(prm.read_prm(spark, str(tmp_path / "c.prm")), t)
+    empty = CooTensor(t.df.limit(0), m)
+    prm.write_prm(empty, str(tmp_path / "e.prm"))
+    assert prm.read_prm(spark, str(tmp_path / "e.prm")).count() == 0
