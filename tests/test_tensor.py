@@ -361,3 +361,20 @@ def test_prm_is_written_and_read_in_chunks(spark, tmp_path, monkeypatch, bits):
     empty = CooTensor(t.df.limit(0), m)
     prm.write_prm(empty, str(tmp_path / "e.prm"))
     assert prm.read_prm(spark, str(tmp_path / "e.prm")).count() == 0
+
+
+def test_dense_arrays_are_linear_in_their_cells(spark):
+    """A look-up of each cell among a row's entries took hours at this width; blocks join to the whole rows."""
+    import time
+
+    n = 60_000
+    m = TensorMeta(MatrixType("CRG"), "f64", (n, 3, 1), (1, 0, 2))
+    t = CooTensor(spark.range(n).selectExpr("id as d0", "0L as d1", "array(double(id + 1)) as vals").union(spark.createDataFrame([(7, 2, [5.0])], "d0 long, d1 long, vals array<double>")), m)
+    began = time.perf_counter()
+    got = {r.d1: r.row for r in dense.to_arrays(t).collect()}
+    assert time.perf_counter() - began < 30
+    want = {0: [float(i + 1) for i in range(n)], 2: [5.0 if i == 7 else 0.0 for i in range(n)]}
+    assert got == want
+    for d in want:
+        blocks = sorted(dense.to_blocks(t, 7000).where(F.col("d1") == d).collect(), key=lambda r: r.block)
+        assert max(len(r.row) for r in blocks) == 7000 and [x for r in blocks for x in r.row] == want[d]
