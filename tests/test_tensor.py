@@ -378,3 +378,31 @@ def test_dense_arrays_are_linear_in_their_cells(spark):
     for d in want:
         blocks = sorted(dense.to_blocks(t, 7000).where(F.col("d1") == d).collect(), key=lambda r: r.block)
         assert max(len(r.row) for r in blocks) == 7000 and [x for r in blocks for x in r.row] == want[d]
+
+
+def test_array_files_of_many_parts(spark, tmp_path):
+    """Written by many tasks, read in splits: a line's number does not depend on the order in which Spark takes the files."""
+    import glob
+
+    m = TensorMeta(MatrixType("CRG"), "f64", (37, 11, 1), (0, 1, 2))
+    pos = [(i * 7 % 37, i % 11, i + 0.1) for i in range(1, 90)]
+    t = CooTensor(spark.createDataFrame([(a, b, [v]) for a, b, v in pos], "d0 long, d1 long, vals array<double>"), m)
+    path = str(tmp_path / "a.mtx")
+    mtx.write_mtx_array(t, path, 10)
+    lines = [x for f in sorted(glob.glob(path + "/part-*")) for x in open(f).read().split()]
+    cells = {(a, b): v for a, b, v in pos}
+    assert [float(x) for x in lines] == [cells.get((a, b), 0.0) for b in range(11) for a in range(37)]
+    parts = tmp_path / "p.mtx"
+    (parts / "_header").mkdir(parents=True)
+    write(parts / "_header" / "part-0", ["%%MatrixMarket matrix array real general", "37 11"])
+    for k, at in enumerate((0, 5, 300)):  # the largest part is not the first
+        write(parts / f"part-{k}", lines[at : (5, 300, None)[k]])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        for p in (path, str(parts)):
+            assert sorted((r.d0, r.d1, r.vals[0]) for r in mtx.read_mtx(spark, p).df.collect()) == sorted(pos), p
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(mtx.MtxError):
+        mtx.read_mtx(spark, write(tmp_path / "short.mtx", ["%%MatrixMarket matrix array real general", "2 2", "1", "2", "3"]))
