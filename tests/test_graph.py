@@ -191,3 +191,23 @@ def test_streaming_ingest(spark, tmp_path):
     q = streaming.running_degrees(streaming.entries(stream, ["a", "b"], "v")).writeStream.format("memory").queryName("deg").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {tuple(r) for r in spark.sql("select * from deg").collect()} == {(0, 1), (1, 1)}
+
+
+@pytest.mark.parametrize("step", [7, 1 << 20])
+def test_sweeps_equal_a_loop_whatever_the_links(spark, monkeypatch, step):
+    """No number of links is refused; pages scored together do not depend on one another."""
+    monkeypatch.setattr(pr, "SWEEP_MOST", 10, raising=False)
+    monkeypatch.setattr(pr, "SWEEP_STEP", step)
+    rng = random.Random(step)
+    edges = [(rng.randrange(60), rng.randrange(50)) for _ in range(150)] + [(i, 40) for i in range(60)] + [(4, 4), (4, 4), (48, 49)]
+    deg = [max(1, sum(s == i for s, _ in edges)) for i in range(60)]
+    score = [1 / 60] * 60
+    for _ in range(3):
+        residual = 0.0
+        for p in range(50):
+            new = 0.15 / 60 + 0.85 * sum(score[s] / deg[s] for s, t in edges if t == p)
+            residual += abs(new - score[p])
+            score[p] = new
+    r = pr.pagerank(frame(spark, edges), 60, max_iterations=3, max_residual=0, mode="gauss_seidel")
+    got = {x.page: x.score for x in r.scores.collect()}
+    assert [got[i] for i in range(60)] == pytest.approx(score) and r.residual == pytest.approx(residual) and r.iterations == 3
