@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut, spread
 from ..tensor import CooTensor
 from .access import with_ordinal
 from .encode import best_encoding, width_stats
@@ -16,7 +17,12 @@ from .layout import offsets
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one side has more often than the other, with ``side`` (left or right)."""
     cols = a.columns
-    return a.exceptAll(b.select(cols)).withColumn("side", F.lit("left")).union(b.select(cols).exceptAll(a).withColumn("side", F.lit("right")))
+    both = cut(a.withColumn("_times", F.lit(1)).union(b.select(cols).withColumn("_times", F.lit(-1))), "sides")
+    keys = [c for c, t in a.dtypes if t in ("bigint", "int")]
+    dealt = spread(both, both.count(), *keys) if keys else both
+    more = dealt.groupBy(*cols).agg(F.sum("_times").alias("_times")).where("_times <> 0")
+    side = F.when(F.col("_times") > 0, "left").otherwise("right")
+    return more.select(*cols, F.explode(F.array_repeat(side, F.abs("_times").cast("int"))).alias("side"))
 
 
 def equal(a: CooTensor, b: CooTensor) -> bool:

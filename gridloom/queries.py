@@ -18,6 +18,7 @@ from .operators import access, algebra, compare, dense, encode, ingest, layout
 from .plans.components import component_sizes, connected_components
 from .plans.pagerank import out_degrees, pagerank, top_k
 from .plans.star import star_components
+from .storage import cut, parts_of, spread
 from .tensor import CooTensor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +49,8 @@ def _sizes(spark: SparkSession, sf: str) -> tuple[int, int]:
 
 def matrix(spark: SparkSession, sf: str) -> CooTensor:
     """M: part x supplier, summed quantity; column-major."""
-    df = _table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("d0"), F.col("l_suppkey").alias("d1")).agg(F.array(F.sum("l_quantity")).alias("vals"))
+    lines = _table(spark, sf, "lineitem")
+    df = spread(lines.select(F.col("l_partkey").alias("d0"), F.col("l_suppkey").alias("d1"), "l_quantity"), lines.count(), "d0", "d1").groupBy("d0", "d1").agg(F.array(F.sum("l_quantity")).alias("vals"))
     return CooTensor(df, TensorMeta(MatrixType("CRG"), "f64", (*_sizes(spark, sf), 1), (1, 0, 2)))
 
 
@@ -75,7 +77,8 @@ def graph(spark: SparkSession, sf: str, backwards: bool = False) -> tuple[DataFr
     n_part, n_supp = _sizes(spark, sf)
     a, b = F.col("l_partkey"), F.col("l_suppkey") + n_part
     pair = (b, a) if backwards else (a, b)
-    return _table(spark, sf, "lineitem").select(pair[0].alias("src"), pair[1].alias("dst")).distinct(), n_part + n_supp
+    lines = _table(spark, sf, "lineitem")
+    return spread(lines.select(pair[0].alias("src"), pair[1].alias("dst")), lines.count(), "src", "dst").distinct(), n_part + n_supp
 
 
 def sparse_graph(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,7 +229,11 @@ def dense_rows(spark, sf):
 @query("select true as same, 0::bigint as differing")
 def sparse_equal(spark, sf):
     t = matrix(spark, sf)
-    again = layout.reindex(layout.reindex(t))
+    t = CooTensor(cut(t.df, "matrix"), t.meta)
+    parts = parts_of(spark, t.count())
+    once = layout.reindex(t, partitions=parts)
+    again = layout.reindex(CooTensor(cut(once.df, "reindexed"), once.meta), partitions=parts)
+    again = CooTensor(cut(again.df, "reindexed"), again.meta)
     n = compare.differences(t.df, again.df).count()
     return spark.range(1).select(F.lit(compare.equal(t, again)).alias("same"), F.lit(n).cast("long").alias("differing"))
 

@@ -15,6 +15,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+TASK_ROWS = 500_000
 _FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
@@ -66,6 +67,21 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_of(spark: SparkSession, rows: int) -> int | None:
+    """Partitions of about TASK_ROWS rows; None where as many tasks as there are cores get no more than that."""
+    cores = spark.sparkContext.defaultParallelism
+    return None if rows <= TASK_ROWS * cores else -(-rows // TASK_ROWS)
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of so many rows, dealt by ``keys`` ahead of an aggregation by them and others.
+
+    Adaptive execution would gather its partitions to as many as there are cores, and a task's table would grow with the input.
+    """
+    n = parts_of(df.sparkSession, rows)
+    return df if n is None else df.repartition(n, *keys)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder of any file system that Spark knows."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -406,3 +406,16 @@ def test_array_files_of_many_parts(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     with pytest.raises(mtx.MtxError):
         mtx.read_mtx(spark, write(tmp_path / "short.mtx", ["%%MatrixMarket matrix array real general", "2 2", "1", "2", "3"]))
+
+
+def test_comparison_deals_rows_by_their_number(spark, monkeypatch):
+    """Tasks get about TASK_ROWS rows however many there are; rows count as often as they occur."""
+    from gridloom import storage
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    a = spark.range(5000).selectExpr("id as d0", "id % 7 as d1", "array(double(id)) as vals")
+    b = a.where("d0 <> 3").union(a.where("d0 = 9")).union(a.where("d0 = 9"))
+    out = compare.differences(a, b)
+    assert out.rdd.getNumPartitions() > int(old) * 10
+    assert sorted((r.d0, r.side) for r in out.collect()) == [(3, "left"), (9, "right"), (9, "right")]
