@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, drop_table, parts_of
 from .bsp import Program, run
 from .star import star_rounds
 
+HEAVY = 500_000
+
 
 @dataclass
 class Labelled:
@@ -26,17 +29,55 @@ class Labelled:
 
 
 class _MinLabel(Program):
+    """Labels along links, both ways.
+
+    Partitions are dealt by the number of rows, not by adaptive execution, so a task's memory does not grow with them.
+    Links are dealt by source once; a sweep streams them past a hash table of its partition's moved labels, then deals
+    what arrives by node. Nodes with over HEAVY links are dealt to lanes in both.
+    """
+
     def __init__(self, edges: DataFrame, num_nodes: int):
-        both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
-        self.both, self.n = cut(both.distinct(), "both"), num_nodes
+        spark = edges.sparkSession
+        ends = edges.select(F.least("src", "dst").cast("long").alias("u"), F.greatest("src", "dst").cast("long").alias("v")).where("u <> v")
+        self.n, self.given = num_nodes, cut(ends, "links")
+        self.parts = parts_of(spark, 2 * self.given.count() + num_nodes) or spark.sparkContext.defaultParallelism
+        pairs = self.given.repartition(self.parts, "u", "v").distinct()
+        ways = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
+        self.links = pairs.select(F.inline(ways)).repartition(self.parts, "src").persist(StorageLevel.DISK_ONLY)
+        degrees = self.links.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") > HEAVY)
+        self.heavy = cut(degrees.select("src", F.ceil(F.col("degree") / HEAVY).cast("int").alias("lanes")), "heavy")
+        self.laned = self.heavy.count() > 0
+        if self.laned:
+            to = self.heavy.select(F.col("src").alias("dst"), F.col("lanes").alias("dst_lanes"))
+            lane = lambda lanes, other: F.coalesce(F.pmod(F.xxhash64(other), F.col(lanes)), F.lit(0)).cast("int")
+            dealt = self.links.join(F.broadcast(self.heavy), "src", "left").join(F.broadcast(to), "dst", "left").select("src", "dst", lane("lanes", "dst").alias("lane"), lane("dst_lanes", "src").alias("dst_lane"))
+            plain, self.links = self.links, dealt.repartition(self.parts, "src", "lane").persist(StorageLevel.DISK_ONLY)
+            self.links.count()
+            plain.unpersist()
+
+    def release(self) -> None:
+        self.links.unpersist()
+        drop_table(self.given)
+        drop_table(self.heavy)
 
     def init(self) -> DataFrame:
-        return self.both.sparkSession.range(self.n).select(F.col("id").alias("node"), F.col("id").alias("component"), F.lit(False).alias("moved"))
+        return self.given.sparkSession.range(self.n).select(F.col("id").alias("node"), F.col("id").alias("component"), F.lit(True).alias("moved"))
 
     def step(self, state: DataFrame) -> DataFrame:
-        heard = self.both.join(state.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("c"))
-        new = F.least("component", F.coalesce("c", "component"))
-        return state.join(heard, "node", "left").select("node", new.alias("component"), (new < F.col("component")).alias("moved"))
+        # A label that did not move was heard before.
+        told = state.where("moved").select(F.col("node").alias("src"), F.col("component").alias("heard"))
+        if self.laned:
+            lanes = F.sequence(F.lit(0), F.coalesce("lanes", F.lit(1)) - 1)
+            told = told.join(F.broadcast(self.heavy), "src", "left").select("src", "heard", F.explode(lanes).alias("lane"))
+            joined = self.links.join(told.repartition(self.parts, "src", "lane").hint("shuffle_hash"), ["src", "lane"])
+            arrived = joined.select(F.col("dst").alias("node"), "dst_lane", "heard").repartition(self.parts, "node", "dst_lane").groupBy("node", "dst_lane").agg(F.min("heard").alias("heard"))
+        else:
+            arrived = self.links.join(told.repartition(self.parts, "src").hint("shuffle_hash"), "src").select(F.col("dst").alias("node"), "heard")
+        none = F.lit(None).cast("long")
+        rows = arrived.select("node", "heard", none.alias("component")).union(state.select("node", none.alias("heard"), "component"))
+        met = rows.repartition(self.parts, "node").groupBy("node").agg(F.min("heard").alias("heard"), F.max("component").alias("component")).where("component is not null")
+        new = F.least("heard", "component")
+        return met.select("node", new.alias("component"), (new < F.col("component")).alias("moved"))
 
     def metrics(self) -> dict[str, Column]:
         return {"propagations": F.sum(F.col("moved").cast("long"))}
@@ -53,7 +94,11 @@ def connected_components(edges: DataFrame, num_nodes: int, method: str = "star",
     by ``max_iterations``. Settled labels are the same.
     """
     if method == "min_label":
-        r = run(_MinLabel(edges, num_nodes), max_iterations)
+        program = _MinLabel(edges, num_nodes)
+        try:
+            r = run(program, max_iterations)
+        finally:
+            program.release()
         changed = (r.history[-1]["propagations"] or 0) if r.history else None
         return Labelled(r.state.select("node", "component"), r.iterations, changed == 0, changed)
     if method != "star":

@@ -211,3 +211,28 @@ def test_sweeps_equal_a_loop_whatever_the_links(spark, monkeypatch, step):
     r = pr.pagerank(frame(spark, edges), 60, max_iterations=3, max_residual=0, mode="gauss_seidel")
     got = {x.page: x.score for x in r.scores.collect()}
     assert [got[i] for i in range(60)] == pytest.approx(score) and r.residual == pytest.approx(residual) and r.iterations == 3
+
+
+@pytest.mark.parametrize("heavy", [10, 1 << 20])
+def test_label_sweeps_deal_rows_by_their_number(spark, monkeypatch, heavy):
+    """Tasks get about TASK_ROWS rows however many there are, links of a hub too."""
+    from gridloom import storage
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 50)
+    monkeypatch.setattr(cc, "HEAVY", heavy, raising=False)
+    rng = random.Random(heavy)
+    edges = [(rng.randrange(700), rng.randrange(700)) for _ in range(400)] + [(650, i) for i in range(100, 400)] + [(7, 7), (3, 4), (4, 3), (3, 4), (699, None)]
+    program = cc._MinLabel(frame(spark, edges), 700)
+    step = program.step(program.init())
+    want = -(-2 * 700 // 50)
+    assert step.rdd.getNumPartitions() >= want
+    links = program.links.withColumn("part", F.spark_partition_id())
+    assert links.select("part").distinct().count() > want // 2
+    assert links.count() == links.select("src", "dst").distinct().count()
+    if heavy == 10:
+        assert links.groupBy("part").count().agg(F.max("count")).first()[0] < 200
+        assert links.where("src = 650").select("part").distinct().count() > 5
+    program.release()
+    r = cc.connected_components(frame(spark, edges), 700, "min_label")
+    found = union_find([e for e in edges if None not in e], range(700))
+    assert {x.node: x.component for x in r.labels.collect()} == found and r.converged
