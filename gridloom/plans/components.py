@@ -27,6 +27,14 @@ class Labelled:
     converged: bool
     propagations: int | None
 
+    @property
+    def components(self) -> Column:
+        """The number of components, as an aggregate over ``labels``.
+
+        Once settled each has one node of its own id, so no table of components is kept.
+        """
+        return F.count_if(F.col("node") == F.col("component")) if self.converged else F.count_distinct("component")
+
 
 class _MinLabel(Program):
     """Labels along links, both ways.

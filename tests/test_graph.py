@@ -236,3 +236,15 @@ def test_label_sweeps_deal_rows_by_their_number(spark, monkeypatch, heavy):
     r = cc.connected_components(frame(spark, edges), 700, "min_label")
     found = union_find([e for e in edges if None not in e], range(700))
     assert {x.node: x.component for x in r.labels.collect()} == found and r.converged
+
+
+def test_settled_components_are_counted_without_a_table_of_them(spark, monkeypatch):
+    from gridloom import format_queries
+
+    edges = frame(spark, [(2 * i, 2 * i + 1) for i in range(200)] + [(401, 402), (402, 403), (403, 404)])
+    monkeypatch.setattr(format_queries, "graph", lambda *_: (edges, 410))
+    out = format_queries.components_run(spark, "")
+    assert out.first() == (True, True, 0, 207)
+    assert "hashpartitioning(component" not in out._jdf.queryExecution().executedPlan().toString()
+    r = cc.connected_components(edges, 410, "min_label", max_iterations=1)
+    assert not r.converged and r.labels.agg(r.components).first()[0] == r.labels.select("component").distinct().count()
